@@ -6,122 +6,169 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed value: how byte-level BPE cuts a text into pre-tokens.
-PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces of these characters alone are cut here; all Unicode versions agree on them. Others go to the library.
-PLAIN_PIECE = re.compile(r" ?[!-~À-ɏ\n]*")
-#: A space beside white space or at an end of the text.
-UNEVEN = re.compile(r"\s | \s|\A | \Z")
-#: A character on which normalisers or white-space rules could differ from piece to text.
-UNUSUAL = re.compile(r"[^\t-\r -~¡-ɏ‐-‧€]")
-MOST_CACHED = 300_000
+#: How the two kinds of tokenizers cut a text into pre-tokens.
+BYTE_PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD_PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters of which all Unicode versions say the same: letters, digits, white space or neither, and their own NFC.
+LETTERS, OTHERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ", "!-/:-@[-`{-~¡-©«¬®-±´¶-¸»¿×÷‐-‧€"
+UNUSUAL = re.compile(rf"[^\t-\r 0-9{LETTERS}{OTHERS}]")
+
+
+def usual(pattern: str) -> re.Pattern:
+    """``pattern`` over usual characters, where ranges say the same as Unicode classes and run faster."""
+    return re.compile(pattern.replace(r"[\p{L}]", rf"[{LETTERS}]").replace(r"[^\s\p{L}\p{N}]", rf"[^\s{LETTERS}0-9]").replace(r"[\p{N}]", "[0-9]").replace(r"\p{L}", f"[{LETTERS}]").replace(r"\p{N}", "[0-9]"))
+
+
+def byte_letters() -> dict[int, str]:
+    """str.translate table from a byte to the letter that byte-level vocabularies write for it.
+
+    Fixed values: printable bytes of Latin-1 stand for themselves; the others, in order, for the code points from 256.
+    """
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b if b in own else 256 + rest.index(b)) for b in range(256)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
+def spelled(pre_token: str) -> str:
+    return pre_token.encode().decode("latin-1").translate(BYTE_LETTERS)
 
 
 def whole_tokens(file: str) -> frozenset[str]:
     """Vocabulary strings proved to encode alone, as one pre-token, to their one token (checked with the library itself)."""
     from tokenizers import Tokenizer
 
-    tokenizer, cut = Tokenizer.from_str(file), regex.compile(PRE_TOKENS)
-    ids, found = list(tokenizer.get_vocab(with_added_tokens=False).values()), []
+    tokenizer, cut, found = Tokenizer.from_str(file), regex.compile(BYTE_PRE_TOKENS), []
+    ids = list(tokenizer.get_vocab(with_added_tokens=False).values())
     texts = tokenizer.decode_batch([[i] for i in ids], skip_special_tokens=False)
-    plain = [(i, t) for i, t in zip(ids, texts, strict=True) if t and "�" not in t and cut.fullmatch(t) and cut.findall(t) == [t]]
-    for (i, t), e in zip(plain, tokenizer.encode_batch([t for _, t in plain], add_special_tokens=False), strict=True):
+    alone = [(i, t) for i, t in zip(ids, texts, strict=True) if t and "�" not in t and cut.findall(t) == [t]]
+    for (i, t), e in zip(alone, tokenizer.encode_batch([t for _, t in alone], add_special_tokens=False), strict=True):
         if e.ids == [i]:
             found.append(t)
     return frozenset(found)
 
 
-class PieceCounts(dict):
-    """Tokens of a piece (a space and what follows it up to the next); at most MOST_CACHED are remembered."""
+#: In usual text, white space other than a space or line break inside a piece.
+UNEVEN = ("  ", " \n", "\n ", "\t", "\r", "\v", "\f")
+
 
-    def __init__(self, tokenizer, whole: frozenset[str]):
-        super().__init__()
-        self.tokenizer, self.whole, self.cut = tokenizer, whole, regex.compile(PRE_TOKENS)
+class Remembered(dict):
+    """What :meth:`made` gives for a pre-token; holds ``most`` at most besides ``always`` and then starts again."""
 
-    def merged(self, piece: str) -> int:
-        return len(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+    def __init__(self, always: dict, most: int = 400_000):
+        super().__init__(always)
+        self.always, self.most = always, most + len(always)
 
-    def __missing__(self, piece: str) -> int:
-        if piece in self.whole:
-            n = 1
-        elif PLAIN_PIECE.fullmatch(piece):
-            n = sum(1 if p in self.whole else self.merged(p) for p in self.cut.findall(piece))
-        else:
-            n = self.merged(piece)
-        if len(self) >= MOST_CACHED:
+    def __missing__(self, pre_token: str):
+        if len(self) >= self.most:
             self.clear()
-        self[piece] = n
-        return n
+            self.update(self.always)
+        self[pre_token] = out = self.made(pre_token)
+        return out
+
+
+class Cut(Remembered):
+    """What ``made`` gives for a piece of text, which may hold several pre-tokens."""
+
+    def __init__(self, made):
+        super().__init__({})
+        self.made = made
+
+
+class Counts(Remembered):
+    """Tokens of texts under a byte-level BPE tokenizer: 1 for a proved whole token; only other pre-tokens are merged."""
+
+    def __init__(self, file: str, whole: frozenset[str]):
+        from tokenizers import Tokenizer
+
+        super().__init__(dict.fromkeys(whole, 1))
+        self.tokenizer, self.cut = Tokenizer.from_str(file), usual(BYTE_PRE_TOKENS)
+        self.merge = self.tokenizer.model.tokenize
+        self.pieces = Cut(lambda piece: sum(map(self.__getitem__, self.cut.findall(piece))))
+        self.spaced = Cut(lambda piece: sum(map(self.__getitem__, self.cut.findall(" " + piece))))
+
+    def made(self, pre_token: str) -> int:
+        return len(self.merge(spelled(pre_token)))
 
     def of(self, text: str) -> int:
-        """A space between two other characters always begins a pre-token, so the pieces of a text with no other space can be counted one by one."""
-        if UNEVEN.search(text):
-            return self.merged(text)
+        """A space between two other characters always begins a pre-token, so texts with no other space can be taken piece by piece."""
+        if UNUSUAL.search(text):
+            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if any(x in text for x in UNEVEN) or text[:1] == " " or text[-1:] == " ":
+            return sum(map(self.__getitem__, self.cut.findall(text)))
         first, *rest = text.split(" ")
-        return (self[first] if first else 0) + sum(map(self.__getitem__, [" " + p for p in rest]))
+        return self.pieces[first] + sum(map(self.spaced.__getitem__, rest))
+
+
+class Ids(Remembered):
+    """Ids (little-endian, unsigned 32 bits) of texts under a lower-casing BPE tokenizer that drops white space."""
+
+    def __init__(self, file: str):
+        from tokenizers import Tokenizer
+
+        super().__init__({})
+        self.tokenizer, self.cut = Tokenizer.from_str(file), usual(WORD_PRE_TOKENS)
+        self.merge, self.special = self.tokenizer.model.tokenize, [t["content"] for t in json.loads(file)["added_tokens"]]
+        self.pieces = Cut(lambda piece: b"".join(map(self.__getitem__, self.cut.findall(piece))))
+
+    def made(self, pre_token: str) -> bytes:
+        return np.array([t.id for t in self.merge(spelled(pre_token))], "<u4").tobytes()
+
+    def of(self, text: str) -> bytes:
+        if UNUSUAL.search(text) or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.pieces.__getitem__, text.lower().split()))
+
+
+def tokenizer_file(path: str, normalizer, pre_tokenizer) -> str:
+    """The content of ``path``, if it is of the kind asked for; it travels with the tasks, which need no such file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.loads(file := f.read())
+    if spec["normalizer"] != normalizer or spec["pre_tokenizer"] != pre_tokenizer or any(t[k] for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized")):
+        raise ValueError(f"{path} is a tokenizer of another kind")
+    return file
+
+
+def byte_bpe_file(path: str) -> str:
+    return tokenizer_file(path, None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+
+
+def word_bpe_file(path: str) -> str:
+    normal = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    cuts = [{"type": "Split", "pattern": {"Regex": WORD_PRE_TOKENS}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+    return tokenizer_file(path, {"type": "Sequence", "normalizers": normal}, {"type": "Sequence", "pretokenizers": cuts})
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> DataFrame:
     """``doc_id n_bytes n_tokens over_limit`` for every row of ``docs``, by the whole-token shortcut.
 
-    ``tokenizer_path``: JSON of a byte-level BPE tokenizer without normaliser; its content travels with the tasks.
-    Counts are those of the library without added special tokens; special strings inside a text are cut out first, as
-    the library does, and count one each. Null text is empty (0 tokens). Rows are independent: repeated rows repeat,
-    an empty table gives an empty result, other columns are not read. There is no shuffle.
+    ``tokenizer_path``: JSON of a byte-level BPE tokenizer without normaliser. Counts are those of the library without
+    added special tokens; special strings inside a text are cut out first, as the library does, and count one each.
+    Null text is empty (0 tokens). Rows are independent: repeated rows repeat, an empty table gives an empty result,
+    other columns are not read. There is no shuffle; a worker remembers a bounded number of merged pre-tokens.
     """
-    with open(tokenizer_path, encoding="utf-8") as f:
-        file = f.read()
-    spec = json.loads(file)
-    if spec["normalizer"] or spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
-        raise ValueError("not a byte-level BPE tokenizer without normaliser")
-    special = [t["content"] for t in spec["added_tokens"]]
-    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
-        raise ValueError("special strings with options aren't supported")
+    file = byte_bpe_file(tokenizer_path)
+    special = sorted((t["content"] for t in json.loads(file)["added_tokens"]), key=len, reverse=True)
     model = docs.sparkSession.sparkContext.broadcast((file, whole_tokens(file)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        file, whole = model.value
-        pieces = PieceCounts(Tokenizer.from_str(file), whole)
-        cut = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+        known = Counts(*model.value)
+        cut = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         for batch in batches:
             sizes, counts = [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 sizes.append(len(text.encode()))
-                parts = cut.split(text) if cut else [text]
-                counts.append(len(parts) - 1 + sum(pieces.of(p) for p in parts if p))
+                parts = cut.split(text)
+                counts.append(len(parts) - 1 + sum(map(known.of, parts)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
-
-
-class PieceIds(dict):
-    """Ids (little-endian, unsigned 32 bits) of a run without white space; at most MOST_CACHED are remembered."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def encoded(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MOST_CACHED:
-            self.clear()
-        self[piece] = ids = self.encoded(piece)
-        return ids
-
-    def of(self, text: str) -> bytes:
-        """The tokenizer drops white space and no pre-token holds any, so usual texts are encoded run by run."""
-        if UNUSUAL.search(text):
-            return self.encoded(text)
-        return b"".join(map(self.__getitem__, text.split()))
