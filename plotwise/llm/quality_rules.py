@@ -82,7 +82,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: flo
     return [math.log((t + smoothing) / (of_target + even)) - math.log((n + smoothing) / (of_raw + even)) for t, n in found]
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, least_llr: float = -0.5, buckets: int = 10_000, smoothing: float = 1.0, most_broadcast: int = 2_000_000) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, least_llr: float = -0.3, buckets: int = 10_000, smoothing: float = 1.0, most_broadcast: int = 2_000_000) -> DataFrame:
     """``docs`` with ``BASE``, ``llr`` and ``kept``: the verdict on every document.
 
     ``llr``: the sum over the document's one- and two-token n-grams, hashed into ``buckets``, of the log ratio between
