@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +51,18 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+_OF_WORKER: dict = {}
+
+
+def once(key: tuple, make: Callable):
+    """``make()``, once for each ``key`` in a Python worker, for its later tasks too; the last four are held."""
+    if key not in _OF_WORKER:
+        while len(_OF_WORKER) >= 4:
+            _OF_WORKER.pop(next(iter(_OF_WORKER)))
+        _OF_WORKER[key] = make()
+    return _OF_WORKER[key]
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of ``text``; null text has none."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

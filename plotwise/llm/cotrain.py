@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -11,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import once
+
 WORDS, DOC_BITS, META = 1 << 15, 1 << 10, 1 << 12
 META_COLUMNS = ("source", "lang", "n_chars", "url")
 SHAPE = ((re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "0"))
@@ -176,11 +179,11 @@ def quality(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_
     model = None
     if len(own) >= 6 and 0 < share_good < 1:
         model = cotrained([text[i] for i in own], [meta[i] for i in own], y[own].astype(float), [text[i] for i in pool], [meta[i] for i in pool], rounds, share)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        table = Odds(model["text"][0][0]) if model else {}
+        table = once(("odds", name), lambda: Odds(model["text"][0][0])) if model else {}
         for batch in batches:
             n = batch.num_rows
             if model is None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -11,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import once
+
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (1, 2, 3, 4)
 MOST_WORDS = 300_000
@@ -151,11 +154,11 @@ def identify(docs: DataFrame, buckets: int = 1 << 15, smoothing: float = 0.5, mo
     """
     known = docs.select("lang", "text", "doc_id").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     langs, model = learned(known.select(F.col("lang").cast("string"), F.col("text").cast("string")), buckets, smoothing)
-    shared = docs.sparkSession.sparkContext.broadcast((langs, model))
+    shared, name = docs.sparkSession.sparkContext.broadcast((langs, model)), uuid.uuid4().hex
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, model = shared.value
-        words = Words(model)
+        words = once(("words", name), lambda: Words(model))
         for batch in batches:
             names, shares = ["und"] * batch.num_rows, [0.0] * batch.num_rows
 

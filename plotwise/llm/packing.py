@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import once, written
 from .tokens import Ids, word_bpe_file
 
 BLOCK = "block long, n long, doc_ids array<long>, sources array<string>, lengths array<int>, per_source array<struct<source:string,tokens:long>>, ids binary"
@@ -25,10 +25,11 @@ def tokenized_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, block_to
 
     ids: each document's ids and ``end_id``, as unsigned 32-bit little-endian numbers (Parquet compresses them).
     """
-    model = docs.sparkSession.sparkContext.broadcast(word_bpe_file(tokenizer_path))
+    file = word_bpe_file(tokenizer_path)
+    model, name = docs.sparkSession.sparkContext.broadcast(file), zlib.crc32(file.encode())
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = Ids(model.value), np.array([end_id], "<u4").tobytes()
+        known, end = once(("ids", name), lambda: Ids(model.value)), np.array([end_id], "<u4").tobytes()
         first, made, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
 
         def block() -> pa.RecordBatch:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import once
+
 #: How the two kinds of tokenizers cut a text into pre-tokens.
 BYTE_PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -157,10 +160,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
     """
     file = byte_bpe_file(tokenizer_path)
     special = sorted((t["content"] for t in json.loads(file)["added_tokens"]), key=len, reverse=True)
-    model = docs.sparkSession.sparkContext.broadcast((file, whole_tokens(file)))
+    model, name = docs.sparkSession.sparkContext.broadcast((file, whole_tokens(file))), zlib.crc32(file.encode())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Counts(*model.value)
+        known = once(("counts", name), lambda: Counts(*model.value))
         cut = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         for batch in batches:
             sizes, counts = [], []
