@@ -97,3 +97,15 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, least_llr: float = -0.3,
     n = F.size("_grams")
     scored = with_grams(base_rules(docs)).withColumn("llr", F.when(n > 0, total / (2 * n - 1)).otherwise(F.lit(0.0)))
     return scored.drop("_grams").withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= least_llr))
+
+
+def accepted(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that :func:`quality_rules` keeps, in the columns of ``docs``.
+
+    The row number keeps the optimizer from moving the filter below the columns it is made of, where they would be
+    computed again for each use.
+    """
+    extra = [c for c in docs.columns if c.lower() in ADDED]
+    held = docs.withColumn("_held", F.struct(*[F.col(f"`{c}`") for c in extra])) if extra else docs
+    judged = quality_rules(held, trusted, **options).withColumn("_row", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("_row") >= 0))
+    return judged.select(*[F.col(f"_held.`{c}`").alias(c) if c in extra else F.col(f"`{c}`") for c in docs.columns])
