@@ -47,8 +47,9 @@ def line_dedup(docs: DataFrame, divisor: int = 3) -> DataFrame:
     after partial aggregation, so a chunk of a third of all documents is a row a task.
     """
     docs = without(docs, ADDED)
+    # explode_outer: for explode the optimizer would build the chunks once more, inlined, to filter out empty arrays
     identity = [F.col("doc_id").alias("_id"), F.md5("text").alias("_md5")]
-    multi = with_chunks(docs.select("doc_id", "text").where(F.col("text").contains("\n")), divisor).select(*identity, F.posexplode("_chunks").alias("_place", "_chunk")).where((F.col("_chunk.lines") > 1) & F.col("_chunk.text").rlike(WORD))
+    multi = with_chunks(docs.select("doc_id", "text").where(F.col("text").contains("\n")), divisor).select(*identity, F.posexplode_outer("_chunks").alias("_place", "_chunk")).where((F.col("_chunk.lines") > 1) & F.col("_chunk.text").rlike(WORD))
     hashed = multi.withColumn("_hash", F.xxhash64("_chunk.text"))
     place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_md5").alias("md5"), F.col("_place").alias("place"))
     again = hashed.groupBy("_hash").agg(F.min(place).alias("_low"), F.max(place).alias("_high")).where("_low <> _high").select("_hash")

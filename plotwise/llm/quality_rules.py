@@ -73,8 +73,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: flo
     if ids.count() <= most_broadcast:
         ids = F.broadcast(ids)
     rows = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_trusted"), "left").select("text", F.col("_trusted").isNotNull().cast("long").alias("_t"))
-    pairs = with_grams(rows).select("_t", F.inline("_grams"))
-    hashed = pairs.select("_t", F.explode(F.array(bucket(buckets, F.col("_a")), F.when(F.col("_b").isNotNull(), bucket(buckets, F.col("_a"), F.col("_b"))))).alias("_bucket")).where(F.col("_bucket").isNotNull())
+    # outer forms: for the others the optimizer would cut the texts once more to filter out empty arrays
+    pairs = with_grams(rows).select("_t", F.inline_outer("_grams"))
+    hashed = pairs.select("_t", F.explode_outer(F.array(F.when(F.col("_a").isNotNull(), bucket(buckets, F.col("_a"))), F.when(F.col("_b").isNotNull(), bucket(buckets, F.col("_a"), F.col("_b"))))).alias("_bucket")).where(F.col("_bucket").isNotNull())
     counts = {r[0]: (r[1], r[2]) for r in hashed.groupBy("_bucket").agg(F.sum("_t"), F.count("*")).collect()}
     of_target, of_raw = sum(t for t, _ in counts.values()), sum(n for _, n in counts.values())
     even = smoothing * buckets
