@@ -45,10 +45,20 @@ def dropped(*tables: DataFrame) -> None:
         where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    """``df`` less the columns that an operator is about to add; names clash in any case, as in Spark."""
-    taken = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+def guarded(docs: DataFrame, own: Iterable[str]) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """``docs`` with all columns but ``own`` under names that no operator uses, and the pairs (old, new) of names.
+
+    So an extra column may be called what an operator calls one of its own, in any case.
+    """
+    old = docs.columns
+    new = [c if c in own and old.index(c) == i else f"_x{i}" for i, c in enumerate(old)]
+    return docs.toDF(*new), list(zip(old, new, strict=True))
+
+
+def restored(df: DataFrame, names: list[tuple[str, str]], added: Iterable[str] = ()) -> DataFrame:
+    """The columns that :func:`guarded` renamed, under their names again, and those ``added``, which replace their namesakes."""
+    taken = {a.lower() for a in added}
+    return df.select(*[F.col(new).alias(old) for old, new in names if old.lower() not in taken], *added)
 
 
 _OF_WORKER: dict = {}

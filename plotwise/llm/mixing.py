@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import unit_hash, without, words_of, written
+from .common import guarded, restored, unit_hash, words_of, written
 
 PLAN = ["size", "source_size", "target", "rate", "copies", "taken"]
 
@@ -40,23 +40,25 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share:
     return levels.select("source", "source_size", "weight", F.when(F.col("_stops") | F.col("_line").isNull(), cap).otherwise(F.least(shared, cap)).alias("target"))
 
 
-def mixing_plan(docs: DataFrame, keep: Sequence[str] | None = None, size: Column | None = None, seed: int = 42, most_broadcast: int = 50_000, weights: Sequence[int] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
+def mixing_plan(docs: DataFrame, narrow: bool = False, **options) -> DataFrame:
     """``docs`` with ``size source_size target rate copies taken``: what the mix takes of each document.
 
     ``rate = target / source_size``; a document is taken ``floor(rate)`` times and once more where a number drawn from
     ``seed`` and ``doc_id`` is below the fraction, so reruns agree and rows with equal ids share their draw.
-    ``size`` defaults to the number of words, 0 for null text. Null sources are one source, the last. A source of size
-    zero has rate 0. Columns of ``docs`` with the names above are replaced; others stay (``keep`` selects some).
-    Sizes are summed per source before the shuffle; the per-source table is broadcast up to ``most_broadcast`` sources
-    and joined by shuffle beyond.
+    ``size``: an expression, by default the number of words, 0 for null text. Null sources are one source, the last. A source
+    of size zero has rate 0. Columns of ``docs`` with the names above are replaced; others stay (``narrow``: only
+    ``doc_id source``, and texts are read once). Sizes are summed per source before the shuffle; the per-source table is
+    broadcast up to ``most_broadcast`` sources and joined by shuffle beyond. An empty table gives no row.
     """
-    docs = without(docs, PLAN)
-    if keep is not None:
-        docs = docs.select(*keep)
-        if size is None and "text" not in keep:
-            raise ValueError("keep must hold text, or size must be given")
+    if narrow:
+        docs = docs.select("doc_id", "source", "text")
+    held, names = guarded(docs, {"doc_id", "source", "text"})
+    return restored(_planned(held, narrow, **options), [n for n in names if not narrow or n[0] != "text"], PLAN)
+
+
+def _planned(docs: DataFrame, narrow: bool = False, size: Column | None = None, seed: int = 42, most_broadcast: int = 50_000, weights: Sequence[int] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
     sized = docs.withColumn("size", (F.size(words_of(F.col("text"))) if size is None else size).cast("long"))
-    if keep is not None:
+    if narrow:
         sized = written(sized.drop("text"), "mix-sizes")
     per_source = written(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-sources").select(F.col("source").alias("_source"), "source_size", "target")
     if per_source.count() <= most_broadcast:
@@ -73,8 +75,6 @@ def mixing_plan(docs: DataFrame, keep: Sequence[str] | None = None, size: Column
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as :func:`mixing_plan` takes it, in the columns of ``docs``."""
-    columns = docs.columns
-    extra = [c for c in columns if c.lower() in PLAN]
-    held = docs.select("*", F.struct(*[F.col(f"`{c}`") for c in extra]).alias("_held")) if extra else docs
-    planned = mixing_plan(held, **options).where(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return planned.select(*[F.col(f"_held.`{c}`").alias(c) if c in extra else F.col(f"`{c}`") for c in columns])
+    held, names = guarded(docs, {"doc_id", "source", "text"})
+    planned = _planned(held, **options).where(F.col("copies") > 0)
+    return restored(planned.withColumn("_copy", F.explode_outer(F.sequence(F.lit(1), F.col("copies").cast("int")))), names)

@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, without, words_of
+from .common import WORD, guarded, restored, words_of
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 ADDED = [*BASE, "llr", "kept"]
@@ -39,12 +39,16 @@ def base_rules(docs: DataFrame, least_words: int = 50, most_repeated: int = 50)
     of them are in repeated windows. Null text counts as empty. Rows are independent. Columns of ``docs`` with these
     names are replaced.
     """
+    held, names = guarded(docs, {"text"})
+    return restored(_base(held, least_words, most_repeated), names, BASE)
+
+
+def _base(docs: DataFrame, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     hashes = F.when(F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - 3), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)))).otherwise(F.array().cast("array<bigint>"))
     return (
-        without(docs, ADDED)
-        .withColumns({"_words": words_of(F.col("text")), "_lines": lines})
+        docs.withColumns({"_words": words_of(F.col("text")), "_lines": lines})
         .withColumns({"n_words": F.size("_words").cast("long"), "word_chars": F.length(F.array_join("_words", "")).cast("long"), "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")})
         .withColumn("_hashes", hashes)
         .withColumn("n_repeat_words", repeat_words(F.col("_words"), F.col("_hashes")))
@@ -92,11 +96,16 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, least_llr: float = -0.3,
     the target by ``doc_id``; with no target all buckets lean as the raw corpus does and ``llr`` decides little. Null
     text counts as empty. Repeated rows count and repeat. Ids are broadcast up to ``most_broadcast``.
     """
+    held, names = guarded(docs, {"doc_id", "text"})
+    return restored(_judged(held, trusted, least_llr, buckets, smoothing, most_broadcast), names, ADDED)
+
+
+def _judged(docs: DataFrame, trusted: DataFrame, least_llr: float = -0.3, buckets: int = 10_000, smoothing: float = 1.0, most_broadcast: int = 2_000_000) -> DataFrame:
     ratios = F.from_json(F.lit(json.dumps(log_ratios(docs, trusted, buckets, smoothing, most_broadcast))), "array<double>")
     of = lambda *tokens: F.get(ratios, bucket(buckets, *tokens))
     total = F.aggregate("_grams", F.lit(0.0), lambda a, g: a + of(g["_a"]) + F.when(g["_b"].isNotNull(), of(g["_a"], g["_b"])).otherwise(F.lit(0.0)))
     n = F.size("_grams")
-    scored = with_grams(base_rules(docs)).withColumn("llr", F.when(n > 0, total / (2 * n - 1)).otherwise(F.lit(0.0)))
+    scored = with_grams(_base(docs)).withColumn("llr", F.when(n > 0, total / (2 * n - 1)).otherwise(F.lit(0.0)))
     return scored.drop("_grams").withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= least_llr))
 
 
@@ -106,7 +115,6 @@ def accepted(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
     The row number keeps the optimizer from moving the filter below the columns it is made of, where they would be
     computed again for each use.
     """
-    extra = [c for c in docs.columns if c.lower() in ADDED]
-    held = docs.withColumn("_held", F.struct(*[F.col(f"`{c}`") for c in extra])) if extra else docs
-    judged = quality_rules(held, trusted, **options).withColumn("_row", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("_row") >= 0))
-    return judged.select(*[F.col(f"_held.`{c}`").alias(c) if c in extra else F.col(f"`{c}`") for c in docs.columns])
+    held, names = guarded(docs, {"doc_id", "text"})
+    judged = _judged(held, trusted, **options).withColumn("_row", F.monotonically_increasing_id())
+    return restored(judged.where(F.col("kept") & (F.col("_row") >= 0)), names)

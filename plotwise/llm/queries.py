@@ -28,7 +28,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.mixing_plan(table(spark, sf_dir, "documents"), keep=["doc_id", "source", "text"])
+    plan = mixing.mixing_plan(table(spark, sf_dir, "documents"), narrow=True)
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 

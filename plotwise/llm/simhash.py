@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import without, written
+from .common import guarded, restored, written
 from .graph import components
 
 BATCH = 1 << 16
@@ -91,9 +91,9 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
 def one_of_each(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
     """The rows of ``docs``, one for each component of :func:`near_duplicates`: that with the smallest ``doc_id``.
 
-    Of rows that repeat an id one stays (the smallest text). Rows with a null id can't be named and stay.
+    Of rows that repeat an id one stays. Rows with a null id can't be named and stay.
     """
-    columns = docs.columns
-    first = near_duplicates(docs, radius, width).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(first, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).union(docs.where(F.col("doc_id").isNull())).select(*[F.col(f"`{c}`") for c in columns])
+    held, names = guarded(docs, {"doc_id", "text"})
+    first = near_duplicates(held, radius, width).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = held.join(first, F.col("doc_id") == F.col("_kept"), "left_semi")
+    return restored(kept.dropDuplicates(["doc_id"]).union(held.where(F.col("doc_id").isNull())), names)
