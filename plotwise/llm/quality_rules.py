@@ -17,6 +17,11 @@ TOKEN = r"\p{L}+|\p{N}+|[^\p{L}\p{N}\s]+"
 SYMBOLS = r"[#*$%&|<>]"
 
 
+def settled(flag: Column) -> Column:
+    """``flag``, never moved: a row number keeps the optimizer from computing it and its columns anew below, once for each use, when rows are filtered by it."""
+    return flag & (F.monotonically_increasing_id() >= 0)
+
+
 def repeat_words(words: Column, hashes: Column) -> Column:
     """Words in three-word windows found twice or more; ``hashes``: one for each window, in order."""
     windows = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -52,7 +57,7 @@ def _base(docs: DataFrame, least_words: int = 50, most_repeated: int = 50) -> Da
         .withColumns({"n_words": F.size("_words").cast("long"), "word_chars": F.length(F.array_join("_words", "")).cast("long"), "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")})
         .withColumn("_hashes", hashes)
         .withColumn("n_repeat_words", repeat_words(F.col("_words"), F.col("_hashes")))
-        .withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words")))
+        .withColumn("base_failed", settled((F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))))
         .drop("_words", "_lines", "_hashes")
     )
 
@@ -106,15 +111,10 @@ def _judged(docs: DataFrame, trusted: DataFrame, least_llr: float = -0.3, bucket
     total = F.aggregate("_grams", F.lit(0.0), lambda a, g: a + of(g["_a"]) + F.when(g["_b"].isNotNull(), of(g["_a"], g["_b"])).otherwise(F.lit(0.0)))
     n = F.size("_grams")
     scored = with_grams(_base(docs)).withColumn("llr", F.when(n > 0, total / (2 * n - 1)).otherwise(F.lit(0.0)))
-    return scored.drop("_grams").withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= least_llr))
+    return scored.drop("_grams").withColumn("kept", settled(~F.col("base_failed") & (F.col("llr") >= least_llr)))
 
 
 def accepted(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that :func:`quality_rules` keeps, in the columns of ``docs``.
-
-    The row number keeps the optimizer from moving the filter below the columns it is made of, where they would be
-    computed again for each use.
-    """
+    """The rows of ``docs`` that :func:`quality_rules` keeps, in the columns of ``docs``."""
     held, names = guarded(docs, {"doc_id", "text"})
-    judged = _judged(held, trusted, **options).withColumn("_row", F.monotonically_increasing_id())
-    return restored(judged.where(F.col("kept") & (F.col("_row") >= 0)), names)
+    return restored(_judged(held, trusted, **options).where("kept"), names)
