@@ -232,3 +232,14 @@ ORACLES["box_overlay_share"] = r("share", with_(boxes, ("cv", "SELECT x1 + 0.5 A
     ("ey", "SELECT area_id, y AS lo, lead(y) OVER (PARTITION BY area_id ORDER BY y) AS hi FROM (SELECT DISTINCT area_id, unnest([y1, y2]) AS y FROM it)"),
     ("ar", "SELECT x.area_id, sum((x.hi - x.lo) * (y.hi - y.lo)) AS covered FROM ex x JOIN ey y USING (area_id) WHERE EXISTS (SELECT 1 FROM it WHERE it.area_id = x.area_id AND it.x1 <= x.lo AND it.x2 >= x.hi AND it.y1 <= y.lo AND it.y2 >= y.hi) GROUP BY x.area_id"),
     last="SELECT area_id, least(greatest(coalesce(covered, 0.0) / ((x2 - x1) * (y2 - y1)), 0.0), 1.0) AS share FROM bx LEFT JOIN ar USING (area_id)"))
+
+step_d2 = "list_sum([(g.z[i] - p.z[i]) * (g.z[i] - p.z[i]) / a.variances[i] FOR i IN range(1, 7)])"
+growth = ("gr", f"""SELECT anchor, 0 AS level, [anchor] AS front, [anchor] AS seen, [{{'id': anchor, 'd2': 0.0::DOUBLE, 'level': 0}}] AS acc FROM a
+  UNION ALL SELECT b.anchor, b.level + 1, x.front, list_concat(b.seen, x.tested), list_concat(b.acc, x.rows) FROM gr b, LATERAL (
+    SELECT coalesce(list(id ORDER BY pos, id) FILTER (WHERE ok), []) AS front, coalesce(list(id), []) AS tested, coalesce(list({{'id': id, 'd2': d2, 'level': b.level + 1}}) FILTER (WHERE ok), []) AS rows FROM (
+      SELECT t.id, t.pos, {d2} AS d2, {d2} <= th.threshold AND {step_d2} <= 0.95 * th.threshold AS ok FROM (
+        SELECT e.dst AS id, min(f.pos) AS pos, arg_min(f.fid, f.pos) AS by_id FROM (SELECT unnest(b.front) AS fid, generate_subscripts(b.front, 1) AS pos) f JOIN e ON e.src = f.fid WHERE NOT list_contains(b.seen, e.dst) GROUP BY e.dst) t
+      JOIN p ON p.area_id = t.id JOIN p g ON g.area_id = t.by_id JOIN a ON a.anchor = b.anchor JOIN th ON th.anchor = b.anchor WHERE {hav('a.lat', 'a.lon', 'p.lat', 'p.lon')} <= 1.2)) x WHERE len(b.front) > 0""")
+grown = ("tw", "SELECT anchor, unnest(acc) AS m FROM (SELECT anchor, arg_max(acc, level) AS acc FROM gr GROUP BY anchor)")
+ORACLES["twin_clusters"] = r("d2", with_(*base, near, limits, growth, grown, recursive=True, last="SELECT anchor, m.id AS area_id, m.d2 AS d2, CAST(m.level AS INTEGER) AS level FROM tw"))
+ORACLES["twin_cluster_sizes"] = with_(*base, near, limits, growth, grown, recursive=True, last="SELECT anchor, count(*) AS cluster_size, count(*) - 1 AS n_twins FROM tw GROUP BY anchor")
