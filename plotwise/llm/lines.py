@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, without
+from .common import WORD, guarded, restored
 
 ADDED = ["n_lines", "n_removed_lines", "n_removed_chunks"]
 
@@ -46,14 +46,14 @@ def line_dedup(docs: DataFrame, divisor: int = 3) -> DataFrame:
     Hashes alone move first; text moves for the chunks and for the final join. Chunks are grouped by hash and bytes
     after partial aggregation, so a chunk of a third of all documents is a row a task.
     """
-    docs = without(docs, ADDED)
+    docs, names = guarded(docs, {"doc_id", "text", "n_chars"})
     # explode_outer: for explode the optimizer would build the chunks once more, inlined, to filter out empty arrays
     identity = [F.col("doc_id").alias("_id"), F.md5("text").alias("_md5")]
     multi = with_chunks(docs.select("doc_id", "text").where(F.col("text").contains("\n")), divisor).select(*identity, F.posexplode_outer("_chunks").alias("_place", "_chunk")).where((F.col("_chunk.lines") > 1) & F.col("_chunk.text").rlike(WORD))
     hashed = multi.withColumn("_hash", F.xxhash64("_chunk.text"))
     place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_md5").alias("md5"), F.col("_place").alias("place"))
     again = hashed.groupBy("_hash").agg(F.min(place).alias("_low"), F.max(place).alias("_high")).where("_low <> _high").select("_hash")
-    found = hashed.join(again, "_hash", "left_semi").select("_hash", F.col("_chunk.text").alias("_bytes"), F.col("_chunk.lines").alias("_n"), place.alias("_at"))
+    found = hashed.join(again, "_hash", "left_semi").select("_hash", F.col("_chunk.text").alias("_bytes"), place.alias("_at"))
     first = found.groupBy("_hash", "_bytes").agg(F.min("_at").alias("_first"))
     later = found.join(first, ["_hash", "_bytes"]).where("_at <> _first")
     gone = later.groupBy(F.col("_at.id").alias("_id"), F.col("_at.md5").alias("_md5")).agg(F.collect_set("_at.place").alias("_gone"))
@@ -69,5 +69,5 @@ def line_dedup(docs: DataFrame, divisor: int = 3) -> DataFrame:
         "n_removed_chunks": F.when(lost, F.size("_gone")).otherwise(F.lit(0)).cast("long"),
     }
     text = F.when(lost, F.array_join(F.transform("_stays", lambda k: F.get("_chunks", k)["text"]), "\n")).otherwise(F.col("_whole"))
-    changed = {"text": text, "n_chars": F.when(lost, F.length(text).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return cut.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns], *[v.alias(k) for k, v in added.items()])
+    changed = {"text": text} | ({"n_chars": F.when(lost, F.length(text).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    return restored(cut.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns], *[v.alias(k) for k, v in added.items()]), names, ADDED)
