@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, guarded, restored
+from .common import WORD, guarded, restored, written
 
 ADDED = ["n_lines", "n_removed_lines", "n_removed_chunks"]
 
@@ -53,7 +53,8 @@ def line_dedup(docs: DataFrame, divisor: int = 3) -> DataFrame:
     hashed = multi.withColumn("_hash", F.xxhash64("_chunk.text"))
     place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_md5").alias("md5"), F.col("_place").alias("place"))
     again = hashed.groupBy("_hash").agg(F.min(place).alias("_low"), F.max(place).alias("_high")).where("_low <> _high").select("_hash")
-    found = hashed.join(again, "_hash", "left_semi").select("_hash", F.col("_chunk.text").alias("_bytes"), place.alias("_at"))
+    # read twice below; as a table the chunks move once
+    found = written(hashed.join(again, "_hash", "left_semi").select("_hash", F.col("_chunk.text").alias("_bytes"), place.alias("_at")), "line-chunks")
     first = found.groupBy("_hash", "_bytes").agg(F.min("_at").alias("_first"))
     later = found.join(first, ["_hash", "_bytes"]).where("_at <> _first")
     gone = later.groupBy(F.col("_at.id").alias("_id"), F.col("_at.md5").alias("_md5")).agg(F.collect_set("_at.place").alias("_gone"))
