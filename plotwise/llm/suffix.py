@@ -16,6 +16,7 @@ from .common import written
 NO_ID = np.iinfo(np.int64).max  # stands for a null id: larger than all others, smaller than none
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+SUBS = 16  # parts of a part, sorted one after the other
 RUN = 31  # windows in a run at most: their marks fit 32 bits
 BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("texts", pa.binary())])
 
@@ -85,6 +86,27 @@ def refined(data: np.ndarray, length: int) -> np.ndarray:
     return ids
 
 
+def marks_of(strings: list[bytes], least: np.ndarray, length: int) -> np.ndarray:
+    """For each string a bit a window, set if another string with a smaller id than its ``least`` has the window too."""
+    kinds: dict[bytes, int] = {}
+    names = np.array([kinds.setdefault(x, len(kinds)) for x in strings])
+    lows = np.full(len(kinds), NO_ID)
+    np.minimum.at(lows, names, least)
+    widths = np.array([len(k) for k in kinds]) - length + 1
+    ends = np.cumsum(widths)
+    owner = np.repeat(np.arange(len(widths)), widths)
+    # places of the windows in the joined strings, each of which has length - 1 places more than windows
+    bucket = refined(np.frombuffer(b"".join(kinds), np.uint8), length)[np.arange(ends[-1]) + owner * (length - 1)]
+    low = np.full(bucket.max() + 1, NO_ID)
+    np.minimum.at(low, bucket, lows[owner])
+    low = low[bucket]
+    own = np.repeat(np.arange(len(names)), widths[names])
+    begins = np.cumsum(widths[names]) - widths[names]
+    shift = np.arange(len(own)) - begins[own]
+    marks = (low[(ends - widths)[names][own] + shift] < least[own]).astype(np.uint32) << shift.astype(np.uint32)
+    return np.add.reduceat(marks, begins, dtype=np.uint32)
+
+
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     """Part of a key; larger keys are in later parts."""
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -134,15 +156,15 @@ class Block:
                         yield d, i, 1, own[i]
 
     def strings(self, known: np.ndarray, state: np.ndarray, parts: int) -> tuple[dict, list]:
-        """Distinct strings of the runs as ``{(part, bytes): [place in its part, least id]}``, and the runs with their string."""
+        """Distinct strings of the runs as ``{(sub-part, bytes): [place in its part, least id]}``, and the runs with their string."""
         found, filled, runs = {}, {}, []
         whole = [t.tobytes() for t in self.texts]
         for d, i, n, key in self.runs(known, state):
-            name = ((key >> 32) * parts >> 32, whole[d][i : i + n + self.length - 1])
+            name = ((key >> 32) * (parts * SUBS) >> 32, whole[d][i : i + n + self.length - 1])
             held = found.get(name)
             if held is None:
-                place = filled.get(name[0], 0)
-                filled[name[0]] = place + 1
+                place = filled.get(name[0] // SUBS, 0)
+                filled[name[0] // SUBS] = place + 1
                 found[name] = held = [place, int(self.ids[d])]
             elif self.ids[d] < held[1]:
                 held[1] = int(self.ids[d])
@@ -160,7 +182,7 @@ def states(block: Block, replies: list[dict], parts: int) -> tuple[np.ndarray, n
     return known, state
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, q: int = 20, block_bytes: int = 4 << 20, part_bytes: int = 4 << 20, common_blocks: int = 1024) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 50, q: int = 20, block_bytes: int = 4 << 20, part_bytes: int = 6 << 20, common_blocks: int = 1024) -> DataFrame:
     """``doc_id n_bytes spans kept`` for every row of ``docs``: what a smaller document holds too, and the bytes that stay.
 
     Texts are UTF-8 bytes (null: empty). A byte goes if a string of ``length`` bytes that covers it also starts in a
@@ -236,47 +258,27 @@ def repeated_spans(docs: DataFrame, length: int = 50, q: int = 20, block_bytes:
                 block = Block(row, length, q)
                 found, _ = block.strings(*states(block, row["keys"], parts), parts)
                 by_part: dict = {}
-                for (part, text), (_, least) in found.items():
-                    by_part.setdefault(part, []).append((text, least))
-                rows = [{"part": p, "block": row["block"], "sizes": np.array([len(t) for t, _ in x], np.uint8).tobytes(), "least": np.array([i for _, i in x], "<i8").tobytes(), "strings": press.compress(b"".join(t for t, _ in x))} for p, x in by_part.items()]
+                for (sub, text), (_, least) in found.items():
+                    by_part.setdefault(sub // SUBS, []).append((text, least, sub % SUBS))
+                rows = [{"part": p, "block": row["block"], "subs": bytes(s for _, _, s in x), "sizes": bytes(len(t) for t, _, _ in x), "least": np.array([i for _, i, _ in x], "<i8").tobytes(), "strings": press.compress(b"".join(t for t, _, _ in x))} for p, x in by_part.items()]
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int64()), ("block", pa.int64()), ("sizes", pa.binary()), ("least", pa.binary()), ("strings", pa.binary())]))
+                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int64()), ("block", pa.int64()), ("subs", pa.binary()), ("sizes", pa.binary()), ("least", pa.binary()), ("strings", pa.binary())]))
 
     def answer_strings(table: pa.Table) -> pa.Table:
         sizes = [np.frombuffer(x, np.uint8).astype(np.int64) for x in table.column("sizes").to_pylist()]
-        least = np.concatenate([np.frombuffer(x, "<i8") for x in table.column("least").to_pylist()])
-        texts = [zstandard.ZstdDecompressor().decompress(x) for x in table.column("strings").to_pylist()]
-        names, kinds, lows = [], {}, []
-        at = 0
-        for own, text in zip(sizes, texts, strict=True):
-            ends = np.cumsum(own).tolist()
-            for a, b in zip([0, *ends[:-1]], ends, strict=True):
-                kind = kinds.setdefault(text[a:b], len(kinds))
-                if kind == len(lows):
-                    lows.append(least[at])
-                elif least[at] < lows[kind]:
-                    lows[kind] = least[at]
-                names.append(kind)
-                at += 1
-        lows, names = np.array(lows, np.int64), np.array(names)
-        widths = np.array([len(k) for k in kinds]) - length + 1
-        places = refined(np.frombuffer(b"".join(kinds), np.uint8), length)
-        begins = np.cumsum([0, *(widths + length - 1)])[:-1]
-        owner = np.repeat(np.arange(len(widths)), widths)
-        offset = np.arange(widths.sum()) - np.repeat(np.cumsum(widths) - widths, widths)
-        bucket = places[begins[owner] + offset]
-        low = np.full(bucket.max() + 1, NO_ID)
-        np.minimum.at(low, bucket, lows[owner])
-        low = low[bucket]  # of each window of each distinct string
-        ends = np.cumsum(widths)
-        own = np.repeat(np.arange(len(names)), widths[names])
-        shift = np.arange(len(own)) - np.repeat(np.cumsum(widths[names]) - widths[names], widths[names])
-        marks = (low[(ends - widths)[names][own] + shift] < least[own]).astype(np.uint32) << shift.astype(np.uint32)
-        masks = np.add.reduceat(marks, np.cumsum(widths[names]) - widths[names], dtype=np.uint32)
+        subs = np.frombuffer(b"".join(table.column("subs").to_pylist()), np.uint8)
+        least = np.frombuffer(b"".join(table.column("least").to_pylist()), "<i8")
+        whole = b"".join(zstandard.ZstdDecompressor().decompress(x) for x in table.column("strings").to_pylist())
+        ends = np.cumsum(np.concatenate(sizes))
+        masks = np.zeros(len(subs), np.uint32)
+        for sub in range(SUBS):
+            at = np.flatnonzero(subs == sub)
+            if len(at):
+                masks[at] = marks_of([whole[a:b] for a, b in zip((ends[at] - np.concatenate(sizes)[at]).tolist(), ends[at].tolist(), strict=True)], least[at], length)
         cuts = np.cumsum([len(x) for x in sizes])[:-1]
         return pa.table({"block": table.column("block"), "part": table.column("part"), "marks": pa.array([x.tobytes() for x in np.split(masks, cuts)], pa.binary())})
 
-    sent = ready.mapInArrow(strings, "part long, block long, sizes binary, least binary, strings binary")
+    sent = ready.mapInArrow(strings, "part long, block long, subs binary, sizes binary, least binary, strings binary")
     marks = sent.repartition(spread, "part").groupBy("part").applyInArrow(answer_strings, "block long, part long, marks binary")
     marks = marks.groupBy("block").agg(F.collect_list(F.struct("part", "marks")).alias("marks"))
 
@@ -291,7 +293,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, q: int = 20, block_bytes:
                     masks = {x["part"]: np.frombuffer(x["marks"], "<u4") for x in row["marks"]}
                     for d, i, size, name in runs:
                         place, least = found[name]
-                        mask = (1 << size) - 1 if block.ids[d] > least else int(masks[name[0]][place])
+                        mask = (1 << size) - 1 if block.ids[d] > least else int(masks[name[0] // SUBS][place])
                         if mask:
                             if gone[d] is None:
                                 gone[d] = np.zeros(len(block.texts[d]) + 1, np.int32)
