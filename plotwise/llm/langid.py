@@ -117,29 +117,37 @@ def mixtures(scores: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most_lan
     ranks them; then for 1, 2, ... of the best ones it is run again, and the number with the highest likelihood less
     ``penalty * (languages - 1) * log(words)`` is taken.
     """
-    n, k = len(starts), scores.shape[1]
-    doc = np.repeat(np.arange(n), sizes)
-    top = scores.max(axis=1, keepdims=True)
-    likely = np.exp(scores - top)
+    k = scores.shape[1]
+    top = scores.max(axis=1)
+    likely = np.exp(scores - top[:, None])
 
-    def run(shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def run(likely: np.ndarray, top: np.ndarray, sizes: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts, each = np.cumsum(sizes) - sizes, (1 / sizes).astype(np.float32)[:, None]
         for _ in range(rounds):
-            part = likely * shares[doc]
-            part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-30)
-            shares = np.add.reduceat(part, starts, axis=0) / sizes[:, None]
-        fit = np.log(np.maximum((likely * shares[doc]).sum(axis=1), 1e-30)) + top[:, 0]
-        return shares, np.add.reduceat(fit, starts)
+            part = likely * np.repeat(shares, sizes, axis=0)
+            part /= np.maximum(part @ np.ones(k, np.float32), 1e-30)[:, None]
+            shares = np.add.reduceat(part, starts, axis=0) * each
+        fit = np.log(np.maximum((likely * np.repeat(shares, sizes, axis=0)) @ np.ones(k, np.float32), 1e-30)) + top
+        return shares, np.add.reduceat(fit.astype(np.float64), starts)
 
-    shares, _ = run(np.full((n, k), 1 / k, np.float32))
+    shares, most = run(likely, top, sizes, np.full((len(sizes), k), 1 / k, np.float32))
     order = np.argsort(-shares, axis=1, kind="stable")
-    best, score, value = order[:, 0], np.ones(n), np.add.reduceat(scores[np.arange(len(scores)), order[doc, 0]], starts)
-    for m in range(2, min(k, most_langs) + 1):
-        held = np.zeros((n, k), np.float32)
-        np.put_along_axis(held, order[:, :m], 1 / m, axis=1)
-        held, fit = run(held)
-        fit = fit - penalty * (m - 1) * np.log(sizes + 1)
-        better = fit > value
-        best, score, value = np.where(better, held.argmax(axis=1), best), np.where(better, held.max(axis=1), score), np.where(better, fit, value)
+    best, score = order[:, 0].copy(), np.ones(len(sizes))
+    alone = scores[np.arange(len(scores)), np.repeat(best, sizes)]
+    value = np.add.reduceat(alone.astype(np.float64), starts)
+    # no set of languages fits better than all of them, so only documents where that would pay are tried with more
+    open_ = np.flatnonzero(most - penalty * np.log(sizes + 1) > value)
+    if len(open_):
+        rows = np.repeat(np.isin(np.arange(len(sizes)), open_), sizes)
+        likely, top, own = likely[rows], top[rows], sizes[open_]
+        for m in range(2, min(k, most_langs) + 1):
+            held = np.zeros((len(open_), k), np.float32)
+            np.put_along_axis(held, order[open_, :m], 1 / m, axis=1)
+            held, fit = run(likely, top, own, held)
+            fit = fit - penalty * (m - 1) * np.log(own + 1)
+            better = fit > value[open_]
+            at = open_[better]
+            best[at], score[at], value[at] = held.argmax(axis=1)[better], held.max(axis=1)[better], fit[better]
     return best, np.clip(score, 0, 1)
 
 
