@@ -57,9 +57,15 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - k)], x[w - k :]) if k < w else x
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A one-to-one mix of 64 bits, whose high bits depend on all."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
 def window_keys(data: np.ndarray, length: int, q: int) -> np.ndarray:
-    """For each window of ``length`` bytes the least hash of a q-gram in it: equal windows have equal keys."""
-    return sliding_min(window_hashes(data, q), length - q + 1)
+    """For each window of ``length`` bytes the least hash of a q-gram in it, mixed again as minima are small: equal windows have equal keys."""
+    return mixed(sliding_min(window_hashes(data, q), length - q + 1))
 
 
 def refined(data: np.ndarray, length: int) -> np.ndarray:
