@@ -72,3 +72,34 @@ def line_dedup(docs: DataFrame, divisor: int = 3) -> DataFrame:
     text = F.when(lost, F.array_join(F.transform("_stays", lambda k: F.get("_chunks", k)["text"]), "\n")).otherwise(F.col("_whole"))
     changed = {"text": text} | ({"n_chars": F.when(lost, F.length(text).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
     return restored(cut.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns], *[v.alias(k) for k, v in added.items()]), names, ADDED)
+
+
+def passage_dedup(docs: DataFrame) -> DataFrame:
+    """``docs`` without the lines of ``text`` that are in a repeated run of two or more lines.
+
+    Of all pairs of adjacent lines with a word that are equal byte for byte, in one document or several, the first stays
+    (in the order of :func:`line_dedup`), and the lines of the others go. So every run all of whose adjacent pairs came
+    before goes whole, wherever it begins and ends; nothing depends on a choice of chunks. Where a line follows itself, a
+    pair may share a line with the first of its kind: that line stays. Each line that goes is still there at an earlier
+    place. Rows with equal id and text are one document; null texts stay null and an ``n_chars`` follows the text.
+
+    A pair moves as its SHA-256, which stands for its bytes (a line break keeps its two lines apart).
+    """
+    docs, names = guarded(docs, {"doc_id", "text", "n_chars"})
+    cut = docs.select(F.col("doc_id").alias("_id"), F.md5("text").alias("_md5"), F.split("text", "\n").alias("_lines")).where(F.col("text").contains("\n"))
+    pair = F.concat_ws("\n", F.col("_line"), F.get("_lines", F.col("_place") + 1))
+    each = cut.select("*", F.posexplode_outer("_lines").alias("_place", "_line")).where(F.col("_place") < F.size("_lines") - 1).select("_id", "_md5", "_place", pair.alias("_pair"))
+    place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_md5").alias("md5"), F.col("_place").alias("place"))
+    found = written(each.where(F.col("_pair").rlike(WORD)).select(F.unhex(F.sha2("_pair", 256)).alias("_key"), place.alias("_at")), "line-pairs")
+    first = found.groupBy("_key").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last")).where("_first <> _last").select("_key", "_first")
+    later = found.join(first, "_key").where("_at <> _first")
+    begin, own = F.col("_at.place"), (F.col("_at.id").eqNullSafe(F.col("_first.id"))) & (F.col("_at.md5") == F.col("_first.md5"))
+    lost = F.when(own & (begin == F.col("_first.place") + 1), F.array(begin + 1)).otherwise(F.array(begin, begin + 1))
+    gone = later.select(F.col("_at.id").alias("_id"), F.col("_at.md5").alias("_md5"), lost.alias("_lost")).groupBy("_id", "_md5").agg(F.flatten(F.collect_list("_lost")).alias("_gone"))
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5("text") == F.col("_md5")), "left")
+    lines = F.split("text", "\n")
+    stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    held = joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), lines)).withColumn("_stays", F.when(F.col("_gone").isNotNull(), stays))
+    text = F.when(F.col("_gone").isNotNull(), F.array_join(F.transform("_stays", lambda k: F.get("_lines", k)), "\n")).otherwise(F.col("text"))
+    changed = {"text": text} | ({"n_chars": F.when(F.col("_gone").isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    return restored(held.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns]), names)

@@ -258,6 +258,33 @@ def test_line_dedup(spark, docs, rows):
     assert lines.line_dedup(docs.limit(0)).count() == 0
 
 
+def test_repeated_passages_go_whole(spark, docs, rows):
+    rnd = random.Random(11)
+    own = lambda: sentences(rnd, 6) + f" {rnd.random()}"
+    passages = [[own() for _ in range(rnd.randrange(2, 9))] for _ in range(6)]
+    texts = [[own(), *rnd.choice(passages), own(), *rnd.choice(passages)] for _ in range(40)] + [["a", "a", "a", "a"], ["", "", "b", "", "", "b"], ["", " ", "", " "]]
+    every = [*rows, *[(700 + i, "\n".join(t), None, None, 0, 0, "") for i, t in enumerate(texts)]]
+    identity = {((r[0] is None, r[0] or 0), hashlib.md5(r[1].encode()).hexdigest(), r[1]) for r in every if r[1] is not None}
+    seen, gone = {}, collections.defaultdict(set)
+    for who, md5, text in sorted(identity):
+        parts = text.split("\n")
+        for k, pair in enumerate(zip(parts, parts[1:])):
+            if WORD.search(" ".join(pair)):
+                first = seen.setdefault(pair, (who, md5, k))
+                if first != (who, md5, k):
+                    gone[who, md5] |= {k + 1} if first == (who, md5, k - 1) else {k, k + 1}
+    want = collections.Counter()
+    for r in every:
+        lost = gone[(r[0] is None, r[0] or 0), hashlib.md5((r[1] or "").encode()).hexdigest()]
+        text = None if r[1] is None else "\n".join(x for k, x in enumerate(r[1].split("\n")) if k not in lost)
+        want[(r[0], text, *r[2:4], len(text) if lost else r[4], *r[5:])] += 1
+    got = lines.passage_dedup(spark.createDataFrame(every, SCHEMA).repartition(4))
+    assert got.columns == docs.columns and collections.Counter(map(tuple, got.collect())) == want
+    left = collections.Counter(x for r in got.where("doc_id >= 700").collect() for x in r["text"].split("\n"))
+    assert {left[x] for p in passages for x in p} <= {0, 1}
+    assert lines.passage_dedup(docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("options", [{}, {"window": 64, "quantum": 16, "block_tokens": 500}, {"most_broadcast": 0}])
 def test_packing(docs, rows, options):
     from tokenizers import Tokenizer
