@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from plotwise.llm import cotrain, graph, langid, lines, mixing, packing, quality_rules, simhash, suffix, tokens, topk
+from plotwise.llm import cotrain, graph, langid, lines, mixing, packing, quality_rules, shingles, simhash, suffix, tokens, topk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BYTE, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -124,6 +124,32 @@ def test_simhash(spark, docs, rows):
     assert {r[0] for r in one.where("doc_id is not null").collect()} == {c for c in reachable(prints, 2) if c is not None}
 
 
+def test_no_near_pair_stays(spark, docs, rows):
+    rnd = random.Random(12)
+    pool = [f"w{i}" for i in range(3000)]
+    base, chain = [[rnd.choice(pool) for _ in range(rnd.choice([60, 150, 400]))] for _ in range(30)], [rnd.choice(pool) for _ in range(150)]
+    texts = []
+    for words in [w for w in base for _ in range(3)] + [chain] * 20:
+        words = list(words)
+        for _ in range(rnd.randrange(4)):
+            words[rnd.randrange(len(words))] = rnd.choice(pool)
+        texts.append(" ".join(words))
+    every = [*{r[0]: r for r in rows if r[0] is not None}.values(), rows[-1], *[(800 + i, t, None, None, 0, 0, "") for i, t in enumerate(texts)]]
+    sets = {r[0]: {tuple(w[i : i + 5]) for w in [(r[1] or "").encode().lower().split()] if w for i in range(max(1, len(w) - 4))} for r in every if r[0] is not None}
+    like = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0
+    got = shingles.without_near(spark.createDataFrame(every, SCHEMA).repartition(4), reps=1)
+    assert got.columns == docs.columns
+    stay = {r["doc_id"] for r in got.collect()}
+    assert None in stay and not any(like(a, b) for a in stay - {None} for b in stay - {None} if a < b)
+    assert all(any(like(a, b) for b in sets if b < a) for a in sets if a not in stay)
+    assert {a for a in sets if not any(like(a, b) for b in sets if a != b)} <= stay
+    # SimHash at two bits leaves near pairs behind
+    one = simhash.one_of_each(spark.createDataFrame(every, SCHEMA))
+    left = {r["doc_id"] for r in one.collect()} - {None}
+    assert any(like(a, b) for a in left for b in left if a < b)
+    assert shingles.without_near(docs.limit(0)).count() == 0
+
+
 def test_ball_links_connect_all(spark):
     rnd = random.Random(2)
     prints = [rnd.getrandbits(64) for _ in range(40)]
