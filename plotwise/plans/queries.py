@@ -187,15 +187,15 @@ def effective_weights(spark, sf):
 
 @query
 def pca_kmeans_search(spark, sf):
-    found = search.search(settled(features.cluster_matrix(u.areas(spark, sf))), u.Z, [5], 8, "map", restarts=5, most_rows=1500)
+    found = search.search(settled(features.cluster_matrix(u.areas(spark, sf))), u.Z, [5], 80, "map")
     return found.select("trial", "k", "score", "sil_val")
 
 
 @query
 def optimal_selection(spark, sf):
     z = settled(features.selection_matrix(u.areas(spark, sf)))
-    best = search.best_trial(search.search(z, u.Z, [5, 6, 7, 8], 8, "select", 0.5, restarts=5, most_rows=1500)).first()
-    labelled = search.final_labels(z, u.Z, best["weights"], best["k"], "select", restarts=10)
+    best = search.best_trial(search.search(z, u.Z, [5, 6, 7, 8], 128, "select", 0.5)).first()
+    labelled = search.final_labels(z, u.Z, best["weights"], best["k"], "select")
     return features.rank_groups(features.location_score(labelled), "cluster")
 
 

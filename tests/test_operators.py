@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from plotwise.operators import features, ladder, montecarlo, polygons, search, spatial, stats, twins
+from plotwise.plans import queries as plans
 from plotwise.sources import config, files
 
 
@@ -78,6 +79,19 @@ def test_silhouette_and_search_agree(spark):
     assert stats.calinski_harabasz(df, "label").first()[0] == pytest.approx(search.calinski_harabasz(x, labels))
 
 
+def test_search_takes_all_rows(spark):
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(4400, 2))
+    df = spark.createDataFrame([(f"{i:04d}", float(p), float(q)) for i, (p, q) in enumerate(x)], "area_id string, a_z double, b_z double")
+    made = search.search(df, ["a_z", "b_z"], [3], 2, restarts=1).collect()
+    assert len(made) == 2 and all(sum(r["sizes"]) == 3300 for r in made)
+    with pytest.raises(ValueError):
+        search.search(df, ["a_z", "b_z"], [3], 2, most_rows=4399)
+    labels = rnd.integers(0, 3, 300)
+    assert search.silhouette(x[:300], labels, tile_rows=7) == pytest.approx(search.silhouette(x[:300], labels))
+    assert plans.pca_kmeans_search(spark, "/root/testdata/sf0.001").count() == 80
+
+
 def test_robust_scale_of_flat_and_empty_columns(spark):
     df = spark.createDataFrame([(1.0, None), (1.0, None), (float("nan"), None)], "a double, b double")
     assert [tuple(r)[2:] for r in features.robust_scale(df, ["a", "b"]).collect()] == [(0.0, 0.0)] * 3
