@@ -201,7 +201,7 @@ def optimal_selection(spark, sf):
 
 @query
 def monte_carlo_counts(spark, sf):
-    return montecarlo.counts(montecarlo.runs(u.scaled(spark, sf), u.Z, n_runs=4, ks=(6, 8), n=4, restarts=3))
+    return montecarlo.counts(montecarlo.runs(u.scaled(spark, sf), u.Z))
 
 
 @query

@@ -1,5 +1,6 @@
 """Operators against plain Python on small random tables, and edge cases."""
 
+import inspect
 import math
 import random
 
@@ -109,6 +110,21 @@ def test_monte_carlo_resumes(spark, tmp_path):
     assert {tuple(r) for r in montecarlo.resumed(df, cols, path, 3, batch=2, **small).collect()} == whole
 
 
+def test_monte_carlo_query_is_the_whole_job(spark, monkeypatch):
+    asked = {}
+
+    def runs(*args, **options):
+        bound = inspect.signature(whole).bind(*args, **options)
+        bound.apply_defaults()
+        asked.update(bound.arguments)
+        return spark.createDataFrame([(0, "a", 1, True)], "run int, area_id string, cluster_rank int, selected boolean")
+
+    whole = montecarlo.runs
+    monkeypatch.setattr(montecarlo, "runs", runs)
+    assert plans.monte_carlo_counts(spark, "/root/testdata/sf0.001").count() == 1
+    assert (asked["n_runs"], asked["ks"], asked["n"], asked["restarts"]) == (100, (6, 8, 10, 12), 32, 20)
+
+
 def test_overlay_counts_overlaps_once(spark):
     kind = "x1 double, y1 double, x2 double, y2 double"
     boxes = spark.createDataFrame([("a", 0.0, 0.0, 2.0, 2.0), ("b", 5.0, 5.0, 6.0, 6.0)], f"area_id string, {kind}")
