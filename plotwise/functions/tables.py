@@ -1,15 +1,48 @@
-"""Tables that cut a plan."""
+"""Tables that cut a plan, in the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_FOLDERS: dict[str, str] = {}
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed and kept in the folder that ``spark.checkpoint.dir`` names (a temporary one only where it is unset)."""
-    sc = df.sparkSession.sparkContext
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, a temporary one, on a local master alone."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.getCheckpointDir():
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="plotwise-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="plotwise-"))
+        sc.setCheckpointDir(named)
+    return (named or sc.getCheckpointDir()).rstrip("/")
+
+
+def run_dir(spark: SparkSession) -> str:
+    """A folder of this application inside the shared one, deleted with all tables in it when the driver's Python ends."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key not in _FOLDERS:
+        _FOLDERS[key] = path = f"{shared_dir(spark)}/plotwise-{key}"
+        jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+
+        def clear() -> None:
+            try:
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(conf).delete(where, True)
+            except Exception:  # the JVM has gone first; the folder's name says whose it was
+                pass
+
+        atexit.register(clear)
+    return _FOLDERS[key]
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed and kept as a checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -2,35 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import run_dir
+
 #: A word: a run of code points other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="plotwise-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, reread: computed once, compressed, and safe when executors go.
 
-    Files that Parquet writes keep the types and nulls of ``df``; an empty ``df`` stays empty with its schema.
+    Files that Parquet writes keep the types and nulls of ``df``; an empty ``df`` stays empty with its schema. All tables
+    of an application go when it ends, and :func:`dropped` deletes one earlier.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
@@ -48,19 +39,47 @@ def dropped(*tables: DataFrame) -> None:
 def guarded(docs: DataFrame, own: Iterable[str]) -> tuple[DataFrame, list[tuple[str, str]]]:
     """``docs`` with all columns but ``own`` under names that no operator uses, and the pairs (old, new) of names.
 
-    So an extra column may be called what an operator calls one of its own, in any case.
+    So an extra column may be called what an operator calls one of its own, or one that it reads in another case. A
+    column of exactly the name is the one that is read, else the first with the name in another case.
     """
-    old = docs.columns
-    new = [c if c in own and old.index(c) == i else f"_x{i}" for i, c in enumerate(old)]
+    old, places = docs.columns, {}
+    for name in own:
+        same = [i for i, c in enumerate(old) if c == name] or [i for i, c in enumerate(old) if c.lower() == name.lower()]
+        if same:
+            places[same[0]] = name
+    new = [places.get(i, f"_x{i}") for i in range(len(old))]
     return docs.toDF(*new), list(zip(old, new, strict=True))
 
 
+def picked(docs: DataFrame, *names: str) -> DataFrame:
+    """These columns of ``docs`` alone, whatever the others are called."""
+    return guarded(docs, names)[0].select(*names)
+
+
 def restored(df: DataFrame, names: list[tuple[str, str]], added: Iterable[str] = ()) -> DataFrame:
     """The columns that :func:`guarded` renamed, under their names again, and those ``added``, which replace their namesakes."""
     taken = {a.lower() for a in added}
     return df.select(*[F.col(new).alias(old) for old, new in names if old.lower() not in taken], *added)
 
 
+def joined_to_one(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner", heavy: int = 1000, most_heavy: int = 100_000) -> DataFrame:
+    """``rows`` joined on ``key`` with ``keyed``, a written table of one row a key with ``_n``, the rows that have it.
+
+    Keys of more than ``heavy`` rows are broadcast, so their rows stay where they are and no task gets a hot key; the
+    others meet by shuffle. ``heavy`` rises with the rows, so that ``most_heavy`` keys are broadcast at most. Where there
+    are such keys ``rows`` is computed twice. ``how``: ``inner`` or ``left_semi``. Null keys match nothing.
+    """
+    total, largest = keyed.agg(F.sum("_n"), F.max("_n")).first()
+    heavy = max(heavy, -(-(total or 0) // most_heavy))
+    named = keyed.drop("_n") if how == "inner" else keyed.select(key)
+    if (largest or 0) <= heavy:
+        return rows.join(named, key, how)
+    hot, rest = (keyed.where(F.col("_n") > heavy), keyed.where(F.col("_n") <= heavy))
+    hot, rest = (k.select(*named.columns) for k in (hot, rest))
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key, how).unionByName(others.join(rest, key, how))
+
+
 _OF_WORKER: dict = {}
 
 

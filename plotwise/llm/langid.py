@@ -9,14 +9,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import once
+from .common import once, picked
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: A word, or each part of a longer one (scripts without spaces): what a document mixes.
+WORD = re.compile(r"\S{1,16}")
+#: Letters by Unicode category (and the marks on them): no superscripts, fractions or letter-like numbers.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 ORDERS = (1, 2, 3, 4)
-MOST_WORDS = 300_000
+MOST_WORDS, MOST_LANGS = 300_000, 1_000
+
+
+def letters_of(word: str) -> str:
+    return word.lower() if word.isalpha() else "".join(LETTERS.findall(word)).lower()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -26,7 +34,7 @@ def held_out(doc_id: Column) -> Column:
 
 def word_grams(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """``(word, bucket)`` of each n-gram of the letters of each word, in UTF-8 bytes with a mark at both ends, lower case."""
-    bare = ["".join(LETTERS.findall(w)).lower().encode() for w in words]
+    bare = [letters_of(w).encode() for w in words]
     line = b"".join(b"\x01" + w + b"\x02" for w in bare if w)
     sizes = np.array([len(w) + 2 if w else 0 for w in bare], np.int64)
     data, owner = np.frombuffer(line, np.uint8).astype(np.uint64), np.repeat(np.arange(len(words)), sizes)
@@ -61,7 +69,7 @@ def gram_counts(docs: DataFrame, buckets: int) -> DataFrame:
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(text.split())
+                words.setdefault(lang, Counter()).update(WORD.findall(text))
                 if sum(map(len, words.values())) > MOST_WORDS:
                     emptied()
         emptied()
@@ -74,6 +82,8 @@ def gram_counts(docs: DataFrame, buckets: int) -> DataFrame:
 
 def learned(docs: DataFrame, buckets: int, smoothing: float) -> tuple[list[str], np.ndarray]:
     """Languages, and the log-likelihood of each bucket under each; ``buckets`` numbers a language come to the driver."""
+    if docs.select("lang").distinct().limit(MOST_LANGS + 1).count() > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} values of lang: not a language column")
     rows = gram_counts(docs, buckets).toPandas()
     langs = sorted(rows["lang"].unique())
     counts = np.zeros((buckets, len(langs)))
@@ -110,56 +120,63 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def mixtures(scores: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most_langs: int, penalty: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def mixtures(scores: np.ndarray, starts: np.ndarray, sizes: np.ndarray, penalty: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Main language and its share in each document.
 
     ``scores``: log-likelihoods of words, those of a document together. Expectation-maximisation over all languages
     ranks them; then for 1, 2, ... of the best ones it is run again, and the number with the highest likelihood less
-    ``penalty * (languages - 1) * log(words)`` is taken.
+    ``penalty * (languages - 1) * log(words + 1)`` is taken. A number is only tried where it could win: the
+    log-likelihood is concave in the shares, so at any shares its value and its slope bound it for all others.
     """
     k = scores.shape[1]
     top = scores.max(axis=1)
     likely = np.exp(scores - top[:, None])
 
-    def run(likely: np.ndarray, top: np.ndarray, sizes: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def run(likely: np.ndarray, top: np.ndarray, sizes: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Shares, log-likelihood, and the largest slope towards one language less the mean slope."""
         starts, each = np.cumsum(sizes) - sizes, (1 / sizes).astype(np.float32)[:, None]
         for _ in range(rounds):
             part = likely * np.repeat(shares, sizes, axis=0)
             part /= np.maximum(part @ np.ones(k, np.float32), 1e-30)[:, None]
             shares = np.add.reduceat(part, starts, axis=0) * each
-        fit = np.log(np.maximum((likely * np.repeat(shares, sizes, axis=0)) @ np.ones(k, np.float32), 1e-30)) + top
-        return shares, np.add.reduceat(fit.astype(np.float64), starts)
+        whole = np.maximum((likely * np.repeat(shares, sizes, axis=0)) @ np.ones(k, np.float32), 1e-30)
+        fit = np.add.reduceat((np.log(whole) + top).astype(np.float64), starts)
+        slope = np.add.reduceat(likely / whole[:, None], starts, axis=0).max(axis=1).astype(np.float64)
+        return shares, fit, np.maximum(slope - sizes, 0) + 1e-3 * sizes
 
-    shares, most = run(likely, top, sizes, np.full((len(sizes), k), 1 / k, np.float32))
+    shares, most, gap = run(likely, top, sizes, np.full((len(sizes), k), 1 / k, np.float32))
+    most, cost = most + gap, penalty * np.log(sizes + 1)
     order = np.argsort(-shares, axis=1, kind="stable")
     best, score = order[:, 0].copy(), np.ones(len(sizes))
     alone = scores[np.arange(len(scores)), np.repeat(best, sizes)]
     value = np.add.reduceat(alone.astype(np.float64), starts)
-    # no set of languages fits better than all of them, so only documents where that would pay are tried with more
-    open_ = np.flatnonzero(most - penalty * np.log(sizes + 1) > value)
-    if len(open_):
-        rows = np.repeat(np.isin(np.arange(len(sizes)), open_), sizes)
-        likely, top, own = likely[rows], top[rows], sizes[open_]
-        for m in range(2, min(k, most_langs) + 1):
-            held = np.zeros((len(open_), k), np.float32)
-            np.put_along_axis(held, order[open_, :m], 1 / m, axis=1)
-            held, fit = run(likely, top, own, held)
-            fit = fit - penalty * (m - 1) * np.log(own + 1)
-            better = fit > value[open_]
-            at = open_[better]
-            best[at], score[at], value[at] = held.argmax(axis=1)[better], held.max(axis=1)[better], fit[better]
+    for m in range(2, k + 1):
+        at = np.flatnonzero(most - (m - 1) * cost > value)
+        if not len(at):
+            break
+        rows = np.repeat(np.isin(np.arange(len(sizes)), at), sizes)
+        held = np.zeros((len(at), k), np.float32)
+        np.put_along_axis(held, order[at, :m], 1 / m, axis=1)
+        held, fit, _ = run(likely[rows], top[rows], sizes[at], held)
+        fit = fit - (m - 1) * cost[at]
+        better = fit > value[at]
+        won = at[better]
+        best[won], score[won], value[won] = held.argmax(axis=1)[better], held.max(axis=1)[better], fit[better]
     return best, np.clip(score, 0, 1)
 
 
-def identify(docs: DataFrame, buckets: int = 1 << 15, smoothing: float = 0.5, most_langs: int = 3, penalty: float = 2.0, rounds: int = 8) -> DataFrame:
+def identify(docs: DataFrame, buckets: int = 1 << 15, smoothing: float = 0.5, penalty: float = 2.0, rounds: int = 8) -> DataFrame:
     """``doc_id held_out lang_pred score`` for every row of ``docs``.
 
     Languages are learned from all rows with a text and a ``lang`` that are not held out (:func:`held_out`): hashed
-    multinomials over the byte n-grams of their words. A document is a mixture of languages, each word from one of them
-    (:func:`mixtures`); ``lang_pred`` is the language with the largest share and ``score`` that share. A null text, or one
-    without a letter, or any when nothing was learned, is ``und`` with score 0. Predictions see the text alone. Rows
-    are independent: repeated rows repeat (and count twice when learned from); an empty table gives no row.
+    multinomials over the byte n-grams of their words. A document is a mixture of any number of languages, each word
+    (of a long run of letters, each part) from one of them (:func:`mixtures`); ``lang_pred`` is the language with the
+    largest share, the first by name on a tie, and ``score`` that share. A null text, or one without a letter, or any
+    when nothing was learned, is ``und`` with score 0. Predictions see the text alone. Rows are independent: repeated
+    rows repeat (and count twice when learned from); an empty table gives no row. More than MOST_LANGS languages are
+    refused.
     """
+    docs = picked(docs, "doc_id", "lang", "text")
     known = docs.select("lang", "text", "doc_id").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     langs, model = learned(known.select(F.col("lang").cast("string"), F.col("text").cast("string")), buckets, smoothing)
     shared, name = docs.sparkSession.sparkContext.broadcast((langs, model)), uuid.uuid4().hex
@@ -177,7 +194,7 @@ def identify(docs: DataFrame, buckets: int = 1 << 15, smoothing: float = 0.5, mo
                 sizes = np.bincount(doc, minlength=len(group))
                 some = np.flatnonzero(sizes)
                 if len(some):
-                    best, score = mixtures(words.table[rows[rows > 0]], (np.cumsum(sizes) - sizes)[some], sizes[some], most_langs, penalty, rounds)
+                    best, score = mixtures(words.table[rows[rows > 0]], (np.cumsum(sizes) - sizes)[some], sizes[some], penalty, rounds)
                     for i, b, s in zip(some.tolist(), best.tolist(), score.tolist(), strict=True):
                         names[group[i][0]], shares[group[i][0]] = langs[b], s
 
@@ -185,7 +202,7 @@ def identify(docs: DataFrame, buckets: int = 1 << 15, smoothing: float = 0.5, mo
                 group, size = [], 0
                 for i, text in enumerate(batch.column(2).to_pylist()):
                     if text:
-                        group.append((i, text.split()))
+                        group.append((i, WORD.findall(text)))
                         size += len(group[-1][1])
                         if size > 50_000:
                             settle(group)

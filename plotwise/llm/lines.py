@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, guarded, restored, written
+from .common import WORD, guarded, joined_to_one, restored, written
 
 ADDED = ["n_lines", "n_removed_lines", "n_removed_chunks"]
 
@@ -43,8 +43,9 @@ def line_dedup(docs: DataFrame, divisor: int = 3) -> DataFrame:
     (0 lines). Rows with equal id and text are one document and get the same result. Columns of ``docs`` with the names
     above are replaced; an ``n_chars`` follows the text if ``docs`` has one.
 
-    Hashes alone move first; text moves for the chunks and for the final join. Chunks are grouped by hash and bytes
-    after partial aggregation, so a chunk of a third of all documents is a row a task.
+    Hashes alone move first, then the text of chunks whose hash comes again, once a task, to be compared. Each first
+    place is joined back by :func:`plotwise.llm.common.joined_to_one`, so a chunk of a third of all documents is no
+    task's list. Whole texts move for the final join.
     """
     docs, names = guarded(docs, {"doc_id", "text", "n_chars"})
     # explode_outer: for explode the optimizer would build the chunks once more, inlined, to filter out empty arrays
@@ -52,11 +53,21 @@ def line_dedup(docs: DataFrame, divisor: int = 3) -> DataFrame:
     multi = with_chunks(docs.select("doc_id", "text").where(F.col("text").contains("\n")), divisor).select(*identity, F.posexplode_outer("_chunks").alias("_place", "_chunk")).where((F.col("_chunk.lines") > 1) & F.col("_chunk.text").rlike(WORD))
     hashed = multi.withColumn("_hash", F.xxhash64("_chunk.text"))
     place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_md5").alias("md5"), F.col("_place").alias("place"))
-    again = hashed.groupBy("_hash").agg(F.min(place).alias("_low"), F.max(place).alias("_high")).where("_low <> _high").select("_hash")
-    # read twice below; as a table the chunks move once
-    found = written(hashed.join(again, "_hash", "left_semi").select("_hash", F.col("_chunk.text").alias("_bytes"), place.alias("_at")), "line-chunks")
-    first = found.groupBy("_hash", "_bytes").agg(F.min("_at").alias("_first"))
-    later = found.join(first, ["_hash", "_bytes"]).where("_at <> _first")
+    again = hashed.groupBy("_hash").agg(F.min(place).alias("_low"), F.max(place).alias("_high"), F.count("*").alias("_n"))
+    again = written(again.where("_low <> _high").select("_hash", "_n"), "line-hashes")
+    # read again below; as a table the chunks move once
+    repeats = joined_to_one(hashed, again, "_hash", "left_semi")
+    found = written(repeats.select("_hash", F.col("_chunk.text").alias("_bytes"), place.alias("_at")), "line-chunks")
+    first = lambda rows: rows.groupBy("_hash", "_bytes").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    kinds = first(found).groupBy("_hash").agg(F.count("*").alias("_kinds"), F.min("_first").alias("_first"), F.sum("_n").alias("_n"))
+    kinds = written(kinds, "line-firsts")
+    # a hash of one byte string stands for it; strings that share a hash meet by their bytes
+    later = joined_to_one(found.select("_hash", "_at"), kinds.where("_kinds = 1").drop("_kinds"), "_hash").select("_at", "_first")
+    shared = kinds.where("_kinds > 1")
+    if not shared.isEmpty():
+        some = found.join(shared.select("_hash"), "_hash", "left_semi")
+        later = later.union(some.join(first(some).drop("_n"), ["_hash", "_bytes"]).select("_at", "_first"))
+    later = later.where("_at <> _first")
     gone = later.groupBy(F.col("_at.id").alias("_id"), F.col("_at.md5").alias("_md5")).agg(F.collect_set("_at.place").alias("_gone"))
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5("text") == F.col("_md5")), "left")
     # only texts that lose something are cut once more
@@ -70,7 +81,7 @@ def line_dedup(docs: DataFrame, divisor: int = 3) -> DataFrame:
         "n_removed_chunks": F.when(lost, F.size("_gone")).otherwise(F.lit(0)).cast("long"),
     }
     text = F.when(lost, F.array_join(F.transform("_stays", lambda k: F.get("_chunks", k)["text"]), "\n")).otherwise(F.col("_whole"))
-    changed = {"text": text} | ({"n_chars": F.when(lost, F.length(text).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    changed = {"text": text} | ({"n_chars": F.when(lost, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
     return restored(cut.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns], *[v.alias(k) for k, v in added.items()]), names, ADDED)
 
 
@@ -91,8 +102,9 @@ def passage_dedup(docs: DataFrame) -> DataFrame:
     each = cut.select("*", F.posexplode_outer("_lines").alias("_place", "_line")).where(F.col("_place") < F.size("_lines") - 1).select("_id", "_md5", "_place", pair.alias("_pair"))
     place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_md5").alias("md5"), F.col("_place").alias("place"))
     found = written(each.where(F.col("_pair").rlike(WORD)).select(F.unhex(F.sha2("_pair", 256)).alias("_key"), place.alias("_at")), "line-pairs")
-    first = found.groupBy("_key").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last")).where("_first <> _last").select("_key", "_first")
-    later = found.join(first, "_key").where("_at <> _first")
+    first = found.groupBy("_key").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.count("*").alias("_n"))
+    first = written(first.where("_first <> _last").select("_key", "_first", "_n"), "line-firsts")
+    later = joined_to_one(found, first, "_key").where("_at <> _first")
     begin, own = F.col("_at.place"), (F.col("_at.id").eqNullSafe(F.col("_first.id"))) & (F.col("_at.md5") == F.col("_first.md5"))
     lost = F.when(own & (begin == F.col("_first.place") + 1), F.array(begin + 1)).otherwise(F.array(begin, begin + 1))
     gone = later.select(F.col("_at.id").alias("_id"), F.col("_at.md5").alias("_md5"), lost.alias("_lost")).groupBy("_id", "_md5").agg(F.flatten(F.collect_list("_lost")).alias("_gone"))
@@ -101,5 +113,5 @@ def passage_dedup(docs: DataFrame) -> DataFrame:
     stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     held = joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), lines)).withColumn("_stays", F.when(F.col("_gone").isNotNull(), stays))
     text = F.when(F.col("_gone").isNotNull(), F.array_join(F.transform("_stays", lambda k: F.get("_lines", k)), "\n")).otherwise(F.col("text"))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("_gone").isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    changed = {"text": text} | ({"n_chars": F.when(F.col("_gone").isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
     return restored(held.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns]), names)

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import guarded, restored, unit_hash, words_of, written
+from .common import guarded, picked, restored, unit_hash, words_of, written
 
+BLOCK = 4096
 PLAN = ["size", "source_size", "target", "rate", "copies", "taken"]
 
 
@@ -25,7 +26,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share:
     up, down = share
     n = len(weights)
     every = Window.partitionBy(F.lit(0))
-    ranked = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(int(w)) for w in weights]), F.pmod(F.row_number().over(every.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(n)).cast("int") + 1).cast("long"))
+    place = F.row_number().over(every.orderBy(F.col("source").asc_nulls_last())) - 1
+    ranked = sizes.withColumn("weight", F.get(F.array(*[F.lit(int(w)) for w in weights]), F.pmod(place, F.lit(n)).cast("int")).cast("long"))
     by_fill = every.orderBy((F.col("source_size") * most / F.col("weight")), F.col("source").asc_nulls_last())
     before, rest = by_fill.rowsBetween(Window.unboundedPreceding, -1), by_fill.rowsBetween(0, Window.unboundedFollowing)
     levels = (
@@ -40,36 +42,62 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share:
     return levels.select("source", "source_size", "weight", F.when(F.col("_stops") | F.col("_line").isNull(), cap).otherwise(F.least(shared, cap)).alias("target"))
 
 
+def placed(rows: DataFrame, most_broadcast: int) -> DataFrame:
+    """``rows`` with ``_place``, a string that tells apart rows of one ``doc_id`` or of none: equal rows are numbered.
+
+    Rows whose id comes once stay where they are. The others are counted as groups of equal rows, before the shuffle, and
+    made again from their number in blocks, so a group of any size is no task's list and its rows need no order.
+    """
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 and doc_id is not null")
+    again = written(ids.select(F.col("doc_id").alias("_again")), "mix-repeated")
+    few = F.broadcast(again) if again.count() <= most_broadcast else again
+    repeated = F.col("doc_id") == F.col("_again")
+    single = rows.where(F.col("doc_id").isNotNull()).join(few, repeated, "left_anti").withColumn("_place", F.lit("1"))
+    several = rows.join(few, repeated, "left_semi").union(rows.where(F.col("doc_id").isNull()))
+    groups = several.groupBy(*rows.columns).agg(F.count("*").alias("_m"))
+    blocks = groups.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_m") - 1) / BLOCK))))
+    dealt = blocks.repartition("doc_id", "_md5", "_block")
+    number = F.explode(F.sequence(F.col("_block") * BLOCK + 1, F.least("_m", (F.col("_block") + 1) * BLOCK)))
+    others = [c for c in rows.columns if c not in ("doc_id", "source", "text", "size", "_md5")]
+    place = [F.col("_number").cast("string"), *([F.xxhash64(*others).cast("string")] if others else [])]
+    return single.union(dealt.withColumn("_number", number).select(*rows.columns, F.concat_ws(":", *place).alias("_place")))
+
+
 def mixing_plan(docs: DataFrame, narrow: bool = False, **options) -> DataFrame:
     """``docs`` with ``size source_size target rate copies taken``: what the mix takes of each document.
 
     ``rate = target / source_size``; a document is taken ``floor(rate)`` times and once more where a number drawn from
-    ``seed`` and ``doc_id`` is below the fraction, so reruns agree and rows with equal ids share their draw.
-    ``size``: an expression, by default the number of words, 0 for null text. Null sources are one source, the last. A source
-    of size zero has rate 0. Columns of ``docs`` with the names above are replaced; others stay (``narrow``: only
-    ``doc_id source``, and texts are read once). Sizes are summed per source before the shuffle; the per-source table is
-    broadcast up to ``most_broadcast`` sources and joined by shuffle beyond. An empty table gives no row.
+    ``seed``, ``doc_id``, the MD5 of the text, ``source`` and its place among rows that share these (:func:`placed`) is
+    below the fraction: reruns agree, and rows without an id or with one id draw apart. ``size``: an expression, by
+    default the number of words, 0 for null text. Null sources are one source, the last. A source of size zero has rate
+    0. Columns of ``docs`` with the names above are replaced; others stay (``narrow``: only ``doc_id source``, and texts
+    are read once). Sizes are summed per source before the shuffle; the per-source table is broadcast up to
+    ``most_broadcast`` sources and joined by shuffle beyond. An empty table gives no row.
     """
     if narrow:
-        docs = docs.select("doc_id", "source", "text")
+        docs = picked(docs, "doc_id", "source", "text")
     held, names = guarded(docs, {"doc_id", "source", "text"})
     return restored(_planned(held, narrow, **options), [n for n in names if not narrow or n[0] != "text"], PLAN)
 
 
 def _planned(docs: DataFrame, narrow: bool = False, size: Column | None = None, seed: int = 42, most_broadcast: int = 50_000, weights: Sequence[int] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
-    sized = docs.withColumn("size", (F.size(words_of(F.col("text"))) if size is None else size).cast("long"))
+    size = (F.size(words_of(F.col("text"))) if size is None else size).cast("long")
+    sized = docs.withColumns({"size": size, "_md5": F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))})
     if narrow:
         sized = written(sized.drop("text"), "mix-sizes")
-    per_source = written(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-sources").select(F.col("source").alias("_source"), "source_size", "target")
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per_source = written(source_targets(sums, weights, share, most), "mix-sources").select(F.col("source").alias("_source"), "source_size", "target")
     if per_source.count() <= most_broadcast:
         per_source = F.broadcast(per_source)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
+    draw = unit_hash(seed, F.col("doc_id"), F.col("_md5"), F.col("source"), F.col("_place"))
     return (
-        sized.join(per_source, F.col("source").eqNullSafe(F.col("_source")), "left")
-        .drop("_source")
+        placed(sized, most_broadcast)
+        .join(per_source, F.col("source").eqNullSafe(F.col("_source")), "left")
         .withColumn("rate", rate)
-        .withColumn("copies", F.floor("rate") + (unit_hash(seed, F.col("doc_id")) < F.col("rate") - F.floor("rate")).cast("long"))
+        .withColumn("copies", F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
+        .drop("_source", "_md5", "_place")
     )
 
 

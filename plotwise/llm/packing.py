@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import once, written
+from .common import once, picked, written
 from .tokens import Ids, word_bpe_file
 
 BLOCK = "block long, n long, doc_ids array<long>, sources array<string>, lengths array<int>, per_source array<struct<source:string,tokens:long>>, ids binary"
@@ -49,7 +49,8 @@ def tokenized_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, block_to
         if held:
             yield block()
 
-    dealt = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).hint("rebalance")
+    rows = picked(docs, "doc_id", "source", "text")
+    dealt = rows.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).hint("rebalance")
     return dealt.mapInArrow(tokenize, BLOCK)
 
 
@@ -92,9 +93,13 @@ def drr(queues: dict, shares: dict, deficits: dict, room: int, window: int, quan
     ``queues``: documents of a source as ``[document, length]``. In each round every waiting source earns its share of a
     window; it sends while its deficit covers ``quantum`` ids or the rest of its document. ``room``: ids that still go
     into the first window. A piece ends with its window, document or quantum, and deficits go on to the next window.
+    Where a queue runs dry the others share its part; queues without a share go last, evenly.
     """
-    order, total = sorted(queues, key=lambda s: (s is None, s or "")), sum(shares.values()) or 1.0
+    order = sorted(queues, key=lambda s: (s is None, s or ""))
+    total = sum(shares[s] for s in order)
     while order:
+        if not total:
+            shares, total = dict.fromkeys(order, 1.0), float(len(order))
         for source in order:
             queue = queues[source]
             deficits[source] += window * shares[source] / total
@@ -115,14 +120,16 @@ def drr(queues: dict, shares: dict, deficits: dict, room: int, window: int, quan
                     queue.popleft()
         if any(not queues[s] for s in order):
             order = [s for s in order if queues[s]]
-            total = sum(shares[s] for s in order) or 1.0
+            total = sum(shares[s] for s in order)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, quantum: int = 512, block_tokens: int = 1 << 20, most_broadcast: int = 100_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, quantum: int = 512, block_tokens: int = 1 << 20, most_broadcast: int = 100_000, targets: Mapping[str | None, float] | None = None) -> DataFrame:
     """Pieces of all documents in sequences of ``window`` ids: ``doc_id start length ids_crc32 doc_tokens sequence_id offset``.
 
-    A document is its ids (null text: none) and ``end_id``. Sources (null is one) get their share of the corpus in every
-    run of windows: documents are dealt evenly into blocks, and each block serves its source queues by :func:`drr`,
+    A document is its ids (null text: none) and ``end_id``. Sources (null is one) get their part of ``targets`` (by
+    default, their share of the corpus; a source that is not named has none) in every run of windows, as long as the
+    block has ids of all: every id is packed, so when a source runs dry the others fill its part, and sources without a
+    target come last. Documents are dealt evenly into blocks, and each block serves its source queues by :func:`drr`,
     starting with the deficits that the blocks before it left. A block's first window goes on where the last block
     ended, so all sequences are full but the very last, and no row moves again after the deal. Pieces have
     ``quantum`` ids unless a document or window ends earlier; neighbouring pieces of one document are joined.
@@ -142,7 +149,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
                 queues: dict = {}
                 for i, source in enumerate(sources):
                     queues.setdefault(source, deque()).append([i, lengths[i], 0])
-                shares, deficits = {x["source"]: x["share"] for x in owed}, {x["source"]: x["deficit"] for x in owed}
+                deficits = {x["source"]: x["deficit"] for x in owed}
+                shares = {x["source"]: x["share"] if targets is None else float(targets.get(x["source"], 0.0)) for x in owed}
                 pieces, at = [], base
                 for _, i, start, n in drr(queues, shares, deficits, window - base % window, window, quantum):
                     last = pieces[-1] if pieces else None

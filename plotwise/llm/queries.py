@@ -69,15 +69,16 @@ QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_simhash, o
 
 ORACLES = {
     "op2_mixing": r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS m,
+  row_number() OVER (PARTITION BY doc_id, md5(coalesce(text, '')), source) AS place FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS BIGINT) AS weight FROM s),
 l AS (SELECT *, row_number() OVER (ORDER BY source_size * 2.0 / weight, source NULLS LAST) AS n FROM w),
 lines AS (SELECT a.n, (SELECT 3 * sum(source_size) FROM l) - 4 * coalesce((SELECT sum(b.source_size) FROM l b WHERE b.n < a.n), 0) AS rest, (SELECT sum(b.weight) FROM l b WHERE b.n >= a.n) AS weights, a.weight, a.source_size FROM l a),
 line AS (SELECT rest, weights FROM lines WHERE rest * weight <= 4 * source_size * weights ORDER BY n LIMIT 1),
 t AS (SELECT l.source, l.source_size, least(coalesce(CAST((SELECT rest FROM line) * l.weight AS DOUBLE) / CAST(2 * (SELECT weights FROM line) AS DOUBLE), 1e300), CAST(2 * l.source_size AS DOUBLE)) AS target FROM l),
-r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 2.0) ELSE 0.0 END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN CAST(CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+r AS (SELECT d.doc_id, d.source, d.m, d.place, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 2.0) ELSE 0.0 END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN CAST(CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || m || ':' || coalesce(source, '') || ':' || CAST(place AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM r""",
     "op7_line_dedup": r"""
 WITH d AS (SELECT doc_id, text, md5(text) AS m, string_split(text, chr(10)) AS l FROM documents),

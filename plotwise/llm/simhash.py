@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import guarded, restored, written
+from .common import guarded, joined_to_one, picked, restored, written
 from .graph import components
 
 BATCH = 1 << 16
@@ -48,7 +48,8 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             found = np.array([fingerprint_of(t, width) for t in batch.column(1).to_pylist()], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, fingerprint long")
+    rows = picked(docs, "doc_id", "text")
+    return rows.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, fingerprint long")
 
 
 def ball_links(fps: DataFrame, radius: int = 2) -> DataFrame:
@@ -80,20 +81,29 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     no other id has a null ``component_id``). An empty table gives no row.
     """
     held = written(fingerprints(docs, width), "simhash")
-    nodes = written(held.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    counted = held.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least"), F.count("*").alias("_n"))
+    nodes = written(counted, "simhash-nodes")
     roots = written(components(ball_links(nodes.select("fp"), radius)), "simhash-roots")
     grouped = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(grouped.select("fp", "root").join(least, "root").select("fp", "component_id"), "simhash-names")
-    return held.join(named, held.fingerprint == named.fp).select("doc_id", hex_of(held.fingerprint).alias("fingerprint"), "component_id")
+    least = written(grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_n")), "simhash-least")
+    named = written(joined_to_one(grouped, least, "root").select("fp", "component_id", "_n"), "simhash-names")
+    out = joined_to_one(held.withColumnRenamed("fingerprint", "fp"), named, "fp")
+    return out.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
     """The rows of ``docs``, one for each component of :func:`near_duplicates`: that with the smallest ``doc_id``.
 
-    Of rows that repeat an id one stays. Rows with a null id can't be named and stay.
+    Of rows that repeat an id the one with the least hash of its columns stays (of equal hashes, any: 64 bits). Rows
+    with a null id can't be named and stay.
     """
     held, names = guarded(docs, {"doc_id", "text"})
-    first = near_duplicates(held, radius, width).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    first = written(near_duplicates(held, radius, width).where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n")), "simhash-first")
     kept = held.join(first, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return restored(kept.dropDuplicates(["doc_id"]).union(held.where(F.col("doc_id").isNull())), names)
+    again = first.where("_n > 1").select("_kept")
+    if not again.isEmpty():
+        columns = held.columns
+        several = kept.join(again, F.col("doc_id") == F.col("_kept"), "left_semi")
+        one = several.groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row")).select("_row.*")
+        kept = kept.join(again, F.col("doc_id") == F.col("_kept"), "left_anti").union(one)
+    return restored(kept.union(held.where(F.col("doc_id").isNull())), names)

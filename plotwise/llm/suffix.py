@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import picked, written
 
 NO_ID = np.iinfo(np.int64).max  # stands for a null id: larger than all others, smaller than none
 BASE = 0x9E3779B97F4A7C15
@@ -68,28 +68,79 @@ def window_keys(data: np.ndarray, length: int, q: int) -> np.ndarray:
     return mixed(sliding_min(window_hashes(data, q), length - q + 1))
 
 
-def refined(data: np.ndarray, length: int) -> np.ndarray:
-    """Bucket of the ``length`` bytes that begin at each place of ``data`` (zeros follow its end): equal if and only if the bytes are.
+Q = 8  # bytes of the initial buckets
+SLICES = 16  # slices of the buckets, refined one after the other
 
-    Bucket-pointer refinement: buckets of the first bytes are refined by sorting on the pair (own bucket, bucket at a
-    later offset); the refined buckets serve as pointers for the next, twice as long, step. Places alone in their bucket
-    are in their final order and are not sorted again.
+
+def leading_words(data: np.ndarray) -> np.ndarray:
+    """The ``Q`` bytes that begin at each place, zeros after the end, as numbers in the order of the bytes."""
+    padded, words = np.concatenate([data, np.zeros(Q, np.uint8)]), np.zeros(len(data), np.uint64)
+    for j in range(Q):
+        words = words << np.uint64(8) | padded[j : j + len(data)]
+    return words
+
+
+def suffix_order(words: np.ndarray, length: int) -> np.ndarray:
+    """The places of a text in the order of their suffixes' first ``length`` bytes at least; ``words``: :func:`leading_words`.
+
+    Bucket-pointer refinement. Suffixes are put in buckets by their first ``Q`` bytes; each suffix points to its bucket
+    (the bucket's last place in the order) and knows how many bytes the bucket shares. A bucket is refined by sorting on
+    the pointers at the offset where its shared bytes end, and its pointers are set anew at once. Slices of buckets
+    are refined one after the other, each again and again until it is done, so that a later slice finds the pointers
+    of earlier ones in their final, deep buckets and needs few sorts. Suffixes alone in a bucket are not sorted again.
+    """
+    n = len(words)
+    order = np.argsort(words)
+    pointer, shared = np.empty(n, np.int64), np.full(n, Q, np.int64)
+
+    def bucketed(keys: np.ndarray, at: np.ndarray, members: np.ndarray) -> np.ndarray:
+        """Sets the pointers of ``members``, which are at the places ``at``; equal keys: one bucket. Says which share one."""
+        last = np.flatnonzero(np.concatenate([keys[1:] != keys[:-1], [True]]))
+        sizes = np.diff(np.concatenate([[-1], last]))
+        pointer[members] = at[np.repeat(last, sizes)]
+        return np.repeat(sizes > 1, sizes)
+
+    if not n:
+        return order
+    open_ = np.flatnonzero(bucketed(words[order], np.arange(n), order) & (length > Q))
+    if not len(open_):
+        return order
+    # cuts between buckets, so that no bucket is in two slices
+    heads = np.flatnonzero(np.concatenate([[True], np.diff(pointer[order[open_]]) != 0]))
+    cuts = np.unique(heads[np.linspace(0, len(heads), SLICES, endpoint=False).astype(int)])
+    for at in np.split(open_, cuts[1:]):
+        while len(at):
+            members = order[at]
+            target = members + shared[members]
+            inside = target < n
+            target = np.minimum(target, n - 1)
+            keys = pointer[members] * (n + 1) + np.where(inside, pointer[target] + 1, 0)
+            by_key = np.argsort(keys)
+            reached = np.where(inside, shared[target], 0)
+            order[at] = members = members[by_key]
+            shared[members] += reached[by_key]
+            several = bucketed(keys[by_key], at, members)
+            at = at[several & (shared[members] < length)]
+    return order
+
+
+def window_classes(data: np.ndarray, length: int) -> np.ndarray:
+    """A number for each place of ``data``, the same if and only if the ``length`` bytes from there are (zeros follow the end).
+
+    Equal windows are neighbours in the order of suffixes, so each is compared, byte by byte, with the one before.
     """
-    n, depth = len(data), min(4, length)
-    padded = np.concatenate([data, np.zeros(depth, np.uint8)]).astype(np.int64)
-    ids = np.zeros(n, np.int64)
-    for j in range(depth):
-        ids = ids << 8 | padded[j : j + n]
-    ids = np.unique(ids, return_inverse=True)[1].astype(np.int64)
-    while depth < length:
-        step, top = min(depth, length - depth), int(ids.max(initial=0)) + 1
-        later = np.concatenate([ids[step:], np.full(min(step, n), -1)]) + 1
-        shared = np.flatnonzero(np.bincount(ids)[ids] > 1)
-        pairs = ids[shared] * (top + 1) + later[shared]
-        ids = ids.copy()
-        ids[shared] = top + np.unique(pairs, return_inverse=True)[1]
-        depth += step
-    return ids
+    words = leading_words(data)
+    n = len(words)
+    order = suffix_order(words, length)
+    same = np.ones(max(n - 1, 0), bool)
+    for offset in range(0, length, Q):
+        offset = min(offset, max(length - Q, 0))
+        part = np.concatenate([words[offset:], np.zeros(min(offset, n), np.uint64)]) >> np.uint64(8 * max(0, Q - length))
+        there = part[order]
+        same &= there[1:] == there[:-1]
+    classes = np.empty(n, np.int64)
+    classes[order] = np.concatenate([np.zeros(min(n, 1), np.int64), np.cumsum(~same)])
+    return classes
 
 
 def marks_of(strings: list[bytes], least: np.ndarray, length: int) -> np.ndarray:
@@ -102,7 +153,8 @@ def marks_of(strings: list[bytes], least: np.ndarray, length: int) -> np.ndarray
     ends = np.cumsum(widths)
     owner = np.repeat(np.arange(len(widths)), widths)
     # places of the windows in the joined strings, each of which has length - 1 places more than windows
-    bucket = refined(np.frombuffer(b"".join(kinds), np.uint8), length)[np.arange(ends[-1]) + owner * (length - 1)]
+    places = np.arange(ends[-1]) + owner * (length - 1)
+    bucket = window_classes(np.frombuffer(b"".join(kinds), np.uint8), length)[places]
     low = np.full(bucket.max() + 1, NO_ID)
     np.minimum.at(low, bucket, lows[owner])
     low = low[bucket]
@@ -194,16 +246,18 @@ def repeated_spans(docs: DataFrame, length: int = 50, q: int = 20, block_bytes:
     Texts are UTF-8 bytes (null: empty). A byte goes if a string of ``length`` bytes that covers it also starts in a
     document with a smaller ``doc_id``; strings overlap and are judged on the input. ``spans``: maximal removed runs
     ``(start, end)``. A null id is larger than all others; rows of equal id take nothing from each other; texts shorter
-    than ``length`` lose nothing; an empty table gives no row.
+    than ``length`` lose nothing; an empty table gives no row. ``length`` is at least ``q`` and below 65,000.
 
     Every window of ``length`` bytes is filed under the least hash of its q-grams. (1) Blocks of texts send their
     distinct keys, 6 bytes each, to parts, which answer for which keys other documents have too. (2) For these, runs of windows
-    of one key go as strings, once a block with the block's least id, to the key's part, where :func:`refined` sorts
+    of one key go as strings, once a block with the block's least id, to the key's part, where :func:`suffix_order` sorts
     their suffixes and each window gets the least id that has it; the answer is a bit a window. (3) Blocks mark their
     documents. Keys that more than ``common_blocks`` blocks have are split: their windows go to parts of their own hash.
     What a block sends or gets is bounded by its own size, and a part gets a key's string once a block at most.
     Texts are kept compressed in a written table and move twice, joined with the answers.
     """
+    if not q <= length < 65_000:
+        raise ValueError("length must be at least q and below 65,000")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, made, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
@@ -223,7 +277,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, q: int = 20, block_bytes:
         if held:
             yield block()
 
-    blocks = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "block long, doc_ids array<long>, lengths array<int>, texts binary"), "suffix-blocks")
+    rows = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    blocks = written(rows.mapInArrow(cut, "block long, doc_ids array<long>, lengths array<int>, texts binary"), "suffix-blocks")
     total = blocks.select(F.explode("lengths").alias("n")).agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
     spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts // 4)
@@ -266,12 +321,12 @@ def repeated_spans(docs: DataFrame, length: int = 50, q: int = 20, block_bytes:
                 by_part: dict = {}
                 for (sub, text), (_, least) in found.items():
                     by_part.setdefault(sub // SUBS, []).append((text, least, sub % SUBS))
-                rows = [{"part": p, "block": row["block"], "subs": bytes(s for _, _, s in x), "sizes": bytes(len(t) for t, _, _ in x), "least": np.array([i for _, i, _ in x], "<i8").tobytes(), "strings": press.compress(b"".join(t for t, _, _ in x))} for p, x in by_part.items()]
+                rows = [{"part": p, "block": row["block"], "subs": bytes(s for _, _, s in x), "sizes": np.array([len(t) for t, _, _ in x], "<u2").tobytes(), "least": np.array([i for _, i, _ in x], "<i8").tobytes(), "strings": press.compress(b"".join(t for t, _, _ in x))} for p, x in by_part.items()]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int64()), ("block", pa.int64()), ("subs", pa.binary()), ("sizes", pa.binary()), ("least", pa.binary()), ("strings", pa.binary())]))
 
     def answer_strings(table: pa.Table) -> pa.Table:
-        sizes = [np.frombuffer(x, np.uint8).astype(np.int64) for x in table.column("sizes").to_pylist()]
+        sizes = [np.frombuffer(x, "<u2").astype(np.int64) for x in table.column("sizes").to_pylist()]
         subs = np.frombuffer(b"".join(table.column("subs").to_pylist()), np.uint8)
         least = np.frombuffer(b"".join(table.column("least").to_pylist()), "<i8")
         whole = b"".join(zstandard.ZstdDecompressor().decompress(x) for x in table.column("strings").to_pylist())

@@ -9,14 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import once
+from .common import once, picked
 
-#: How the two kinds of tokenizers cut a text into pre-tokens.
-BYTE_PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: how the lower-casing tokenizer cuts a text into pre-tokens.
 WORD_PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters of which all Unicode versions say the same: letters, digits, white space or neither, and their own NFC.
 LETTERS, OTHERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ", "!-/:-@[-`{-~¡-©«¬®-±´¶-¸»¿×÷‐-‧€"
@@ -25,7 +23,9 @@ UNUSUAL = re.compile(rf"[^\t-\r 0-9{LETTERS}{OTHERS}]")
 
 def usual(pattern: str) -> re.Pattern:
     """``pattern`` over usual characters, where ranges say the same as Unicode classes and run faster."""
-    return re.compile(pattern.replace(r"[\p{L}]", rf"[{LETTERS}]").replace(r"[^\s\p{L}\p{N}]", rf"[^\s{LETTERS}0-9]").replace(r"[\p{N}]", "[0-9]").replace(r"\p{L}", f"[{LETTERS}]").replace(r"\p{N}", "[0-9]"))
+    for class_, same in ((r"[\p{L}]", f"[{LETTERS}]"), (r"[^\s\p{L}\p{N}]", rf"[^\s{LETTERS}0-9]"), (r"[\p{N}]", "[0-9]")):
+        pattern = pattern.replace(class_, same)
+    return re.compile(pattern)
 
 
 def byte_letters() -> dict[int, str]:
@@ -49,81 +49,72 @@ def whole_tokens(file: str) -> frozenset[str]:
     """Vocabulary strings proved to encode alone, as one pre-token, to their one token (checked with the library itself)."""
     from tokenizers import Tokenizer
 
-    tokenizer, cut, found = Tokenizer.from_str(file), regex.compile(BYTE_PRE_TOKENS), []
-    ids = list(tokenizer.get_vocab(with_added_tokens=False).values())
+    tokenizer = Tokenizer.from_str(file)
+    names = {i: t for t, i in tokenizer.get_vocab(with_added_tokens=False).items()}
+    ids, cut = list(names), tokenizer.pre_tokenizer.pre_tokenize_str
     texts = tokenizer.decode_batch([[i] for i in ids], skip_special_tokens=False)
-    alone = [(i, t) for i, t in zip(ids, texts, strict=True) if t and "�" not in t and cut.findall(t) == [t]]
-    for (i, t), e in zip(alone, tokenizer.encode_batch([t for _, t in alone], add_special_tokens=False), strict=True):
-        if e.ids == [i]:
-            found.append(t)
-    return frozenset(found)
+    alone = [(i, t) for i, t in zip(ids, texts, strict=True) if t and "�" not in t and [p for p, _ in cut(t)] == [names[i]]]
+    codes = tokenizer.encode_batch([t for _, t in alone], add_special_tokens=False)
+    return frozenset(names[i] for (i, _), code in zip(alone, codes, strict=True) if code.ids == [i])
 
 
-#: In usual text, white space other than a space or line break inside a piece.
-UNEVEN = ("  ", " \n", "\n ", "\t", "\r", "\v", "\f")
+#: A space between two characters that are no white space: a byte-level pre-token always begins there.
+LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Remembered(dict):
-    """What :meth:`made` gives for a pre-token; holds ``most`` at most besides ``always`` and then starts again."""
+    """What :meth:`made` gives for a string; holds ``most`` short ones at most besides ``always`` and then starts again."""
 
-    def __init__(self, always: dict, most: int = 400_000):
+    def __init__(self, always: dict, made, most: int = 400_000, longest: int = 64):
         super().__init__(always)
-        self.always, self.most = always, most + len(always)
-
-    def __missing__(self, pre_token: str):
-        if len(self) >= self.most:
-            self.clear()
-            self.update(self.always)
-        self[pre_token] = out = self.made(pre_token)
+        self.always, self.made, self.most, self.longest = always, made, most + len(always), longest
+
+    def __missing__(self, text: str):
+        out = self.made(text)
+        if len(text) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+                self.update(self.always)
+            self[text] = out
         return out
 
 
-class Cut(Remembered):
-    """What ``made`` gives for a piece of text, which may hold several pre-tokens."""
-
-    def __init__(self, made):
-        super().__init__({})
-        self.made = made
+class Counts:
+    """Tokens of texts under a byte-level BPE tokenizer: 1 for a proved whole token; only other pre-tokens are merged.
 
-
-class Counts(Remembered):
-    """Tokens of texts under a byte-level BPE tokenizer: 1 for a proved whole token; only other pre-tokens are merged."""
+    Pre-tokens are the library's own, of any script: texts are cut at lone spaces, and a piece that was seen before
+    needs no cutting.
+    """
 
     def __init__(self, file: str, whole: frozenset[str]):
         from tokenizers import Tokenizer
 
-        super().__init__(dict.fromkeys(whole, 1))
-        self.tokenizer, self.cut = Tokenizer.from_str(file), usual(BYTE_PRE_TOKENS)
-        self.merge = self.tokenizer.model.tokenize
-        self.pieces = Cut(lambda piece: sum(map(self.__getitem__, self.cut.findall(piece))))
-        self.spaced = Cut(lambda piece: sum(map(self.__getitem__, self.cut.findall(" " + piece))))
-
-    def made(self, pre_token: str) -> int:
-        return len(self.merge(spelled(pre_token)))
+        tokenizer = Tokenizer.from_str(file)
+        merge, cut = tokenizer.model.tokenize, tokenizer.pre_tokenizer.pre_tokenize_str
+        counts = Remembered(dict.fromkeys(whole, 1), lambda pre_token: len(merge(pre_token)))
+        self.first = Remembered({}, lambda piece: sum(counts[p] for p, _ in cut(piece)))
+        self.spaced = Remembered({}, lambda piece: sum(counts[p] for p, _ in cut(" " + piece)))
 
     def of(self, text: str) -> int:
-        """A space between two other characters always begins a pre-token, so texts with no other space can be taken piece by piece."""
-        if UNUSUAL.search(text):
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if any(x in text for x in UNEVEN) or text[:1] == " " or text[-1:] == " ":
-            return sum(map(self.__getitem__, self.cut.findall(text)))
-        first, *rest = text.split(" ")
-        return self.pieces[first] + sum(map(self.spaced.__getitem__, rest))
+        if not text:
+            return 0
+        first, *rest = LONE_SPACE.split(text)
+        return self.first[first] + sum(map(self.spaced.__getitem__, rest))
+
 
+class Ids:
+    """Ids (little-endian, unsigned 32 bits) of texts under a lower-casing BPE tokenizer that drops white space.
 
-class Ids(Remembered):
-    """Ids (little-endian, unsigned 32 bits) of texts under a lower-casing BPE tokenizer that drops white space."""
+    Texts of characters that the ranges above cover are cut here, others by the library; both give the library's ids.
+    """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
-        super().__init__({})
-        self.tokenizer, self.cut = Tokenizer.from_str(file), usual(WORD_PRE_TOKENS)
-        self.merge, self.special = self.tokenizer.model.tokenize, [t["content"] for t in json.loads(file)["added_tokens"]]
-        self.pieces = Cut(lambda piece: b"".join(map(self.__getitem__, self.cut.findall(piece))))
-
-    def made(self, pre_token: str) -> bytes:
-        return np.array([t.id for t in self.merge(spelled(pre_token))], "<u4").tobytes()
+        self.tokenizer, cut = Tokenizer.from_str(file), usual(WORD_PRE_TOKENS)
+        merge, self.special = self.tokenizer.model.tokenize, [t["content"] for t in json.loads(file)["added_tokens"]]
+        known = Remembered({}, lambda pre_token: np.array([t.id for t in merge(spelled(pre_token))], "<u4").tobytes())
+        self.pieces = Remembered({}, lambda piece: b"".join(map(known.__getitem__, cut.findall(piece))))
 
     def of(self, text: str) -> bytes:
         if UNUSUAL.search(text) or any(s in text for s in self.special):
@@ -174,4 +165,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
                 counts.append(len(parts) - 1 + sum(map(known.of, parts)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

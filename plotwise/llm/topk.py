@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import picked, written
 
 BLOCK = "block long, n int, dim int, largest double, uids binary, ids binary, vectors binary"
 BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("dim", pa.int32()), ("largest", pa.float64()), ("uids", pa.binary()), ("ids", pa.binary()), ("vectors", pa.binary())])
@@ -65,12 +65,12 @@ def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 6
     non-finite component take no part. Repeated rows are rows of their own: each is a candidate, and each query row
     gets its own ``k``. Vectors of unequal length compare over the shorter one.
 
-    Rows are packed into blocks of at most ``block_rows``. Each block of queries meets each block of candidates (a
-    product of blocks, not of rows) in one matrix product, which keeps ``k`` columns a query; the lists of a query are
-    merged as a tree, ``fan_in`` at a time, so no task gets more than ``fan_in * k`` entries of it at once.
+    Rows are packed into blocks of at most ``block_rows``, the queries once more into full blocks of their own. Each
+    block of queries meets each block of candidates (a product of blocks, not of rows) in one matrix product, which
+    keeps ``k`` columns a query; the lists of a query are merged as a tree, ``fan_in`` at a time on average.
     """
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(finite)
+    rows = picked(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(finite)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, seen, made, held = TaskContext.get().partitionId() << 32, 0, 0, {}
@@ -104,7 +104,22 @@ def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 6
                 if (mine := ids % every == 0).any():
                     yield packed(uids[mine], ids[mine], matrix[mine].astype(np.int64), row["block"])
 
-    asked = written(blocks.mapInArrow(queries, BLOCK), "topk-queries")
+    def refilled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                parts = held.setdefault(row["dim"], [])
+                parts.append([x.astype(np.int64) for x in unpacked(row)])
+                if sum(len(p[1]) for p in parts) >= block_rows:
+                    yield packed(*[np.concatenate(x) for x in zip(*parts, strict=True)], row["block"])
+                    parts.clear()
+        for parts in held.values():
+            if parts:
+                yield packed(*[np.concatenate(x) for x in zip(*parts, strict=True)], 0)
+
+    own_parts = written(blocks.mapInArrow(queries, BLOCK), "topk-query-parts")
+    n_asked = own_parts.agg(F.sum("n")).first()[0] or 0
+    asked = written(own_parts.repartition(-(-n_asked // block_rows) or 1).mapInArrow(refilled, BLOCK), "topk-queries")
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,13 +127,12 @@ def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 6
                 q_uids, q_ids, q = unpacked({c[2:]: row[c] for c in row if c[:2] == "q_"})
                 uids, ids, c = unpacked(row)
                 most = row["q_largest"] * row["largest"] * min(row["q_dim"], row["dim"])
+                by_uid = np.argsort(uids)
+                at = by_uid[np.minimum(np.searchsorted(uids, q_uids, sorter=by_uid), len(uids) - 1)]
+                columns_of_own = np.where(uids[at] == q_uids, at, -1)
                 for lo in range(0, len(q_ids), 512):
                     scores = tile_scores(q[lo : lo + 512], c, most)
-                    own = np.full(len(scores), -1)
-                    if row["q_block"] == row["block"]:
-                        where = {u: i for i, u in enumerate(uids.tolist())}
-                        own = np.array([where[u] for u in q_uids[lo : lo + 512].tolist()])
-                    top = tile_top(scores, own, k)
+                    top = tile_top(scores, columns_of_own[lo : lo + 512], k)
                     sizes = [len(t) for t in top]
                     columns = np.concatenate(top) if top else np.zeros(0, int)
                     lines = np.repeat(np.arange(len(top)), sizes)
