@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from .common import guarded, picked, restored, unit_hash, words_of, written
 
-BLOCK = 4096
+BLOCK, PARTS = 4096, 4096
 PLAN = ["size", "source_size", "target", "rate", "copies", "taken"]
 
 
@@ -55,12 +55,26 @@ def placed(rows: DataFrame, most_broadcast: int) -> DataFrame:
     single = rows.where(F.col("doc_id").isNotNull()).join(few, repeated, "left_anti").withColumn("_place", F.lit("1"))
     several = rows.join(few, repeated, "left_semi").union(rows.where(F.col("doc_id").isNull()))
     groups = several.groupBy(*rows.columns).agg(F.count("*").alias("_m"))
+    key, others = ["doc_id", "_md5", "source"], [c for c in rows.columns if c not in ("doc_id", "source", "text", "size", "_md5")]
+    groups = numbered(groups, key, others) if others else groups.withColumn("_first", F.lit(0).cast("long"))
     blocks = groups.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_m") - 1) / BLOCK))))
-    dealt = blocks.repartition("doc_id", "_md5", "_block")
+    dealt = blocks.repartition("doc_id", "_md5", "_first", "_block")
     number = F.explode(F.sequence(F.col("_block") * BLOCK + 1, F.least("_m", (F.col("_block") + 1) * BLOCK)))
-    others = [c for c in rows.columns if c not in ("doc_id", "source", "text", "size", "_md5")]
-    place = [F.col("_number").cast("string"), *([F.xxhash64(*others).cast("string")] if others else [])]
-    return single.union(dealt.withColumn("_number", number).select(*rows.columns, F.concat_ws(":", *place).alias("_place")))
+    return single.union(dealt.withColumn("_number", number).select(*rows.columns, (F.col("_first") + F.col("_number")).cast("string").alias("_place")))
+
+
+def numbered(groups: DataFrame, key: list[str], others: list[str]) -> DataFrame:
+    """``groups`` of ``_m`` equal rows with ``_first``, the rows of the same ``key`` that are counted before them.
+
+    The groups of a key are dealt by the hash of the other columns into PARTS parts, each counted in a task of its own.
+    """
+    hashed = groups.withColumn("_h", F.xxhash64(F.to_json(F.struct(*others)))).withColumn("_part", F.pmod("_h", F.lit(PARTS)))
+    rest = lambda *by: F.coalesce(F.sum("_m").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = hashed.groupBy(*key, "_part").agg(F.sum("_m").alias("_m")).withColumn("_before", rest(*key, "_part"))
+    sums = sums.select(*[F.col(c).alias(f"_of_{c}") for c in (*key, "_part")], "_before")
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*key, "_part")]
+    joined = hashed.withColumn("_within", rest(*key, "_part", "_h")).join(sums, same)
+    return joined.select(*groups.columns, (F.col("_before") + F.col("_within")).alias("_first"))
 
 
 def mixing_plan(docs: DataFrame, narrow: bool = False, **options) -> DataFrame:
