@@ -28,7 +28,7 @@ def ladder(spark: SparkSession, steps: int = 100) -> DataFrame:
     return out.withColumns({
         "ring_fallback_mi": F.greatest("ring_fallback_mi", F.lit(LEAST_FALLBACK)),
         "min_select": F.bround(line(*SELECT_COUNT)).cast("int"),
-        "demand": F.lit(low) + F.lit(top - low) / F.pow(F.lit(1.0) + F.lit(k) * t, F.lit(p)),
+        "demand": F.bround(F.lit(low) + F.lit(top - low) / F.pow(F.lit(1.0) + F.lit(k) * t, F.lit(p))),
         "max_search_mi": F.lit(SEARCH[0]) + F.lit(SEARCH[1]) * F.sqrt(t),
     })
 

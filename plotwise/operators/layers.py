@@ -13,7 +13,7 @@ from .features import LAND_LIMIT, OPEN_SPACE_LIMIT
 RANK_COLORS = ("#b3de69", "#80b1d3", "#bebada", "#fb8072", "#fdb462", "#8dd3c7", "#ccebc5", "#fccde5")
 GREY, WHITE = "#bdbdbd", "#ffffff"
 STRICT_COLORS = ("#0b3d91", "#2c7fb8", "#41b6c4", "#a1dab4", "#ffffbf", "#fdae61", "#d7191c")
-STRICT_STEPS, RING_MAX_SCALE, DOT_MIN, DOT_MAX = 11, 2.0, 3.0, 9.0
+STRICT_STEPS, RING_MAX_SCALE, DOT_MIN, DOT_MAX = 11, 2.0, 4.0, 12.0
 
 
 def rank_color(rank: Column) -> Column:

@@ -43,12 +43,16 @@ def overlay_share(boxes: DataFrame, covers: DataFrame, size: float) -> DataFrame
 
 
 def ring_areas(shapes: DataFrame) -> DataFrame:
-    """``area_id area x1 y1 x2 y2`` of polygons as arrays of rings of ``(x, y)`` (the first outer, the others holes), by the shoelace sum."""
+    """``area_id area x1 y1 x2 y2`` of polygons as arrays of rings of ``(x, y)`` (the first outer, the others holes), by the shoelace sum.
+
+    Rows of one ``area_id`` are parts of one shape: their areas add up.
+    """
     ring = lambda r: F.abs(F.aggregate(F.zip_with(r, F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1)), lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]), F.lit(0.0), lambda a, x: a + x)) / 2
     parts = F.transform("rings", lambda r, i: F.when(i == 0, ring(r)).otherwise(-ring(r)))
     every = lambda c: F.flatten(F.transform("rings", lambda r: F.transform(r, lambda p: p[c])))
     xs, ys = every("x"), every("y")
-    return shapes.select("area_id", F.aggregate(parts, F.lit(0.0), lambda a, x: a + x).alias("area"), F.array_min(xs).alias("x1"), F.array_min(ys).alias("y1"), F.array_max(xs).alias("x2"), F.array_max(ys).alias("y2"))
+    sized = shapes.select("area_id", F.aggregate(parts, F.lit(0.0), lambda a, x: a + x).alias("area"), F.array_min(xs).alias("x1"), F.array_min(ys).alias("y1"), F.array_max(xs).alias("x2"), F.array_max(ys).alias("y2"))
+    return sized.groupBy("area_id").agg(F.sum("area").alias("area"), *[F.min(c).alias(c) for c in ("x1", "y1")], *[F.max(c).alias(c) for c in ("x2", "y2")])
 
 
 def shared_borders(shapes: DataFrame) -> DataFrame:

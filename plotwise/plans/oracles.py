@@ -6,7 +6,7 @@ from ..functions.geo import EARTH_MILES, OCTANTS
 from ..operators.features import FEATURES, LOGGED, SCORE_WEIGHTS
 from ..operators.layers import RANK_COLORS
 from ..operators.similarity import WEIGHTS
-from ..operators.spatial import ANCHOR_LATS, ANCHOR_LONS
+from ..operators.spatial import ANCHORS
 from .universe import AREAS
 
 U = AREAS.format(customer="customer", nation="nation", region="region", orders="orders")
@@ -66,7 +66,7 @@ def with_(*tables: tuple[str, str], last: str, recursive: bool = False) -> str:
 u, uz = ("u", U), ("uz", scaled("u"))
 SCORE = " + ".join(f"{w} * coalesce({c}_z, 0.0)" for c, w in SCORE_WEIGHTS.items())
 score = ("s", f"SELECT *, 0.0 + {SCORE} AS location_score FROM uz")
-anchors = ("an", "VALUES " + ", ".join(f"({i}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for i, (a, b) in enumerate(zip(ANCHOR_LATS, ANCHOR_LONS, strict=True))))
+anchors = ("an", "VALUES " + ", ".join(f"({i}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for i, (a, b) in enumerate(ANCHORS)))
 anchors = ("an", f"SELECT col0 AS anchor_idx, col1 AS anchor_lat, col2 AS anchor_lon FROM ({anchors[1]})")
 snapped = ("sn", "SELECT anchor_idx, arg_min(area_id, {'d': pow(lat - anchor_lat, 2) + pow(lon - anchor_lon, 2), 'r': row_ord}) AS area_id FROM u, an WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY anchor_idx")
 distinct = ("a0", "SELECT DISTINCT area_id FROM sn")
@@ -78,7 +78,7 @@ def edges(miles: float, name: str = "e") -> tuple[str, str]:
 
 steps = ("st", """SELECT CAST(i AS INTEGER) AS scenario_idx, i / 100.0::DOUBLE AS t, CAST(0.01 AS DOUBLE) + CAST(0.10 - 0.01 AS DOUBLE) * (i / 100.0::DOUBLE) AS fdr_alpha, CAST(0.7 AS DOUBLE) + (CAST(0.4 AS DOUBLE) - CAST(0.7 AS DOUBLE)) * (i / 100.0::DOUBLE) AS min_pass_rate,
   CAST(2.0 AS DOUBLE) + (CAST(0.8 AS DOUBLE) - CAST(2.0 AS DOUBLE)) * (i / 100.0::DOUBLE) AS store_buffer_mi, greatest(CAST(1.0 AS DOUBLE) - CAST(0.5 AS DOUBLE) * (i / 100.0::DOUBLE), 0.01) AS ring_fallback_mi,
-  CAST(round_even(20.0::DOUBLE - 10.0::DOUBLE * (i / 100.0::DOUBLE), 0) AS INTEGER) AS min_select, 4000.0::DOUBLE + 6000.0::DOUBLE / (1.0::DOUBLE + 3.0::DOUBLE * (i / 100.0::DOUBLE)) AS demand, 1.5::DOUBLE + sqrt(i / 100.0::DOUBLE) AS max_search_mi FROM range(100) x(i)""")
+  CAST(round_even(20.0::DOUBLE - 10.0::DOUBLE * (i / 100.0::DOUBLE), 0) AS INTEGER) AS min_select, round_even(4000.0::DOUBLE + 6000.0::DOUBLE / (1.0::DOUBLE + 3.0::DOUBLE * (i / 100.0::DOUBLE)), 0) AS demand, 1.5::DOUBLE + sqrt(i / 100.0::DOUBLE) AS max_search_mi FROM range(100) x(i)""")
 cumulative = ("cw", "SELECT e.src, e.dist_mi, sum(coalesce(u.potential_bus, 0.0)) OVER (PARTITION BY e.src ORDER BY e.dist_mi, e.dst ROWS UNBOUNDED PRECEDING) AS w FROM e JOIN u ON u.area_id = e.dst")
 rings = ("rg", "SELECT src, scenario_idx, min(dist_mi) AS ring_mi FROM cw, st WHERE w >= demand AND dist_mi <= max_search_mi GROUP BY src, scenario_idx")
 passed = ("cd", f"""SELECT st.*, u.*, rg.ring_mi, CASE WHEN ring_mi > 0 THEN ring_mi ELSE ring_fallback_mi END AS ring_used_mi FROM u JOIN rg ON rg.src = u.area_id JOIN st USING (scenario_idx)

@@ -36,12 +36,18 @@ def excluded_ids(spark: SparkSession, path: str, canonical: bool = True) -> Data
 
 
 def geojson(spark: SparkSession, path: str, id_column: str) -> DataFrame:
-    """``area_id rings properties`` of the polygons in a GeoJSON file of features."""
-    point = "array<double>"
-    schema = f"features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:array<array<{point}>>>>>"
+    """``area_id rings properties``, a row for each polygon in a GeoJSON file of features; a MultiPolygon has several.
+
+    Other geometries and features without one give no row; a ring is an array of points ``(x, y)``.
+    """
+    polygon = "array<array<array<double>>>"
+    schema = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("features"))
+    at, kind = F.col("geometry.coordinates"), F.col("geometry.type")
+    one, many = F.array(F.from_json(at, polygon)), F.from_json(at, f"array<{polygon}>")
+    parts = rows.select("properties", F.explode(F.when(kind == "Polygon", one).when(kind == "MultiPolygon", many)).alias("_rings"))
     ring = lambda r: F.transform(r, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
-    return rows.where("geometry.type = 'Polygon'").select(F.col("properties").getItem(id_column).alias("area_id"), F.transform("geometry.coordinates", ring).alias("rings"), "properties")
+    return parts.select(F.col("properties").getItem(id_column).alias("area_id"), F.transform("_rings", ring).alias("rings"), "properties")
 
 
 def geocode_cache(spark: SparkSession, path: str) -> DataFrame:

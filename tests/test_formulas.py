@@ -35,6 +35,7 @@ def test_schedule(spark):
     assert len(rows) == 100
     assert [rows[t]["min_select"] for t in (0.0, 0.05, 0.15, 0.5)] == [20, 20, 18, 15]
     assert [round(rows[t]["demand"]) for t in (0.0, 0.05, 0.15, 0.5)] == [10000, 9217, 8138, 6400]
+    assert all(r["demand"] == round(4000 + 6000 / (1 + 3 * t)) for t, r in rows.items())
     assert rows[0.0]["max_search_mi"] == 1.5
 
 

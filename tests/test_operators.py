@@ -1,6 +1,7 @@
 """Operators against plain Python on small random tables, and edge cases."""
 
 import inspect
+import json
 import math
 import random
 
@@ -145,3 +146,26 @@ def test_files(spark, tmp_path, monkeypatch):
     assert [r["label"] for r in files.with_labels(points, files.geocode_cache(spark, str(tmp_path / "c.json"))).orderBy("lat").collect()] == [None, "here"]
     monkeypatch.setenv("STEPS", "7.0")
     assert config.setting({"a": {"b": 3}}, "STEPS", "a.b", 1) == 7 and config.setting({"a": {"b": 3}}, "NONE", "a.b", 1) == 3
+    monkeypatch.setenv("STEPS", "  ")
+    assert config.setting({"a": {"b": 3}}, "STEPS", "a.b", 1) == 3 and config.setting({"a": {"b": [4]}}, "STEPS", "a.b", 1) == 1
+    monkeypatch.setenv("STEPS", "T")
+    assert config.setting({}, "STEPS", "a", False) is True
+    monkeypatch.setenv("STEPS", "6, 8.5,x")
+    assert config.setting({}, "STEPS", "a", [1]) == [6, 8.5, "x"]
+
+
+def test_multipolygons(spark, tmp_path):
+    square = lambda x, side: [[x, 0], [x + side, 0], [x + side, side], [x, side], [x, 0]]
+    shapes = [("a", "MultiPolygon", [[square(0, 4), square(1, 1)], [square(10, 2)]]), ("b", "Polygon", [square(0, 1)]), ("c", "Point", [0, 0])]
+    features = [{"properties": {"id": i}, "geometry": {"type": kind, "coordinates": at}} for i, kind, at in shapes]
+    (tmp_path / "m.json").write_text(json.dumps({"features": [*features, {"properties": {"id": "d"}, "geometry": None}]}))
+    got = polygons.ring_areas(files.geojson(spark, str(tmp_path / "m.json"), "id")).collect()
+    assert {(r["area_id"], r["area"], r["x1"], r["x2"]) for r in got} == {("a", 19.0, 0.0, 12.0), ("b", 1.0, 0.0, 1.0)}
+
+
+def test_sizes_count_every_label(spark):
+    points = spark.createDataFrame([(x,) for x in [0, 0, 0, 1, 5, 5]], "label int")
+    got = stats.cluster_sizes(points, "label", 3, 2).first()
+    n = np.bincount([0, 0, 0, 1, 5, 5], minlength=3)
+    assert (got["smallest"], got["largest"], got["small_clusters"], got["small_fraction"]) == (0, 3, 4, pytest.approx(4 / 6))
+    assert got["imbalance_std"] == pytest.approx(n.std() / n.mean())
