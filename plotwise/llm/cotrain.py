@@ -17,8 +17,8 @@ from .common import guarded, picked, written
 WORDS, DOC_BITS, META = 1 << 15, 1 << 10, 1 << 12
 META_COLUMNS = ("source", "lang", "n_chars", "url")
 SHAPE = ((re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "0"))
-#: Log odds lie between -REACH and REACH and are counted in steps of 1 / STEPS; a view is sure beyond SURE.
-REACH, STEPS, SURE = 30, 64, 2
+#: Log odds lie between -REACH and REACH and are counted in steps of 1 / STEPS.
+REACH, STEPS = 30, 64
 #: Rows of one matrix product.
 SLICE = 256
 FEATURES = "doc_id long, y int, size long, at binary, n binary, whole binary, meta binary"
@@ -157,20 +157,22 @@ def given(rows: Rows, doc_ids: list, rounds: list[dict]) -> Iterator[dict]:
         yield out
 
 
-def cut_of(steps: dict[int, int], most: float, y: int) -> tuple[int, float]:
+def cut_of(steps: dict[int, int], most: float, y: int, sure: float) -> tuple[int, float]:
     """The step at which the surest rows reach ``most``, and the part of that step's rows that still go."""
-    for step in sorted((s for s in steps if (s >= SURE * STEPS if y else s < -SURE * STEPS)), reverse=bool(y)):
+    least = round(sure * STEPS)
+    for step in sorted((s for s in steps if (s >= least if y else s < -least)), reverse=bool(y)):
         if steps[step] > most:
             return step, most / steps[step]
         most -= steps[step]
-    return (SURE * STEPS - 1 if y else -SURE * STEPS), 0.0
+    return (least - 1 if y else -least), 0.0
 
 
-def exchanged(pool: DataFrame, views: dict[str, View], train: Rows, y: np.ndarray, rounds: int, share: float) -> None:
+def exchanged(pool: DataFrame, views: dict[str, View], check: Rows, y: np.ndarray, rounds: int, share: float, sure: float) -> None:
     """Adds to ``views``, round by round, the features of the pool's rows that the other view is sure of.
 
-    In each round both views score every row of the pool; the surest ``share`` of all rows, in the proportion of the
-    labels, go with their label to the other view. Steps of the odds are counted, and given rows' features added up, on
+    In each round both views score every row of the pool, calibrated on the labelled rows ``check`` that they are not fitted
+    on; the surest ``share`` of all rows, in the proportion of the labels, go with their label to the other view, if their
+    log odds are beyond ``sure``. Steps of the odds are counted, and given rows' features added up, on
     the executors: the driver gets one row a step, and one a feature and label.
     """
     sc, rate, total, models = pool.sparkSession.sparkContext, float(y.mean()), None, []
@@ -178,7 +180,7 @@ def exchanged(pool: DataFrame, views: dict[str, View], train: Rows, y: np.ndarra
         model = {}
         for view in views:
             odds = views[view].odds()
-            model[view] = [odds, calibrated(getattr(train, f"{view}_scores")(odds), y), None]
+            model[view] = [odds, calibrated(getattr(check, f"{view}_scores")(odds), y), None]
         models.append(model)
         shared = sc.broadcast(models)
 
@@ -194,7 +196,7 @@ def exchanged(pool: DataFrame, views: dict[str, View], train: Rows, y: np.ndarra
             counted[r["view"]][r["step"]] = r["n"]
         total = sum(counted["text"].values()) if total is None else total
         for view in views:
-            model[view][2] = [cut_of(counted[view], share * total * part, label) for label, part in enumerate((1 - rate, rate))]
+            model[view][2] = [cut_of(counted[view], share * total * part, label, sure) for label, part in enumerate((1 - rate, rate))]
         shared.unpersist()
         ready = sc.broadcast(models)
 
@@ -246,7 +248,7 @@ def rows_of(table: list) -> Rows:
     return Rows(*[[r[c] for r in table] for c in ("size", "at", "n", "whole", "meta")])
 
 
-def quality(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, rounds: int = 4, share: float = 0.05, most_broadcast: int = 500_000) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, rounds: int = 4, share: float = 0.05, sure: float = 3.0, most_broadcast: int = 500_000) -> DataFrame:
     """``doc_id text_score meta_score quality kept`` for every row of ``docs``.
 
     ``labels``: ``doc_id`` and ``quality`` (1 good, 0 not; other rows and null ids are left out). The text view sees the
@@ -276,10 +278,10 @@ def quality(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, round
     if len(y) < 6 or not 0 < share_good < 1:
         same = F.lit(share_good)
         return table.select("doc_id", same.alias("text_score"), same.alias("meta_score"), same.alias("quality"), F.lit(share_good >= 0.5).alias("kept"))
-    return scored(table, fitted(table.where("y is null"), sample, y, rounds, share))
+    return scored(table, fitted(table.where("y is null"), sample, y, rounds, share, sure))
 
 
-def fitted(pool: DataFrame, sample: list, y: np.ndarray, rounds: int, share: float) -> dict:
+def fitted(pool: DataFrame, sample: list, y: np.ndarray, rounds: int, share: float, sure: float) -> dict:
     """The log odds of both views after the exchange, and their calibration; every third row of ``sample`` calibrates."""
     held = np.arange(len(y)) % 3 == 2
     train, check = (rows_of([r for r, h in zip(sample, held, strict=True) if h == last]) for last in (False, True))
@@ -287,7 +289,7 @@ def fitted(pool: DataFrame, sample: list, y: np.ndarray, rounds: int, share: flo
     for label in (0, 1):
         for view in views:
             train.add_to({view: views[view].counts}, view, y[~held] == label, label)
-    exchanged(pool, views, train, y[~held], rounds, share)
+    exchanged(pool, views, check, y[held], rounds, share, sure)
     model = {"prior": float(np.log(y.mean() / (1 - y.mean())))}
     for view in views:
         odds = views[view].odds()
