@@ -124,7 +124,7 @@ def suffix_order(words: np.ndarray, length: int) -> np.ndarray:
     return order
 
 
-def window_classes(data: np.ndarray, length: int) -> np.ndarray:
+def refined(data: np.ndarray, length: int) -> np.ndarray:
     """A number for each place of ``data``, the same if and only if the ``length`` bytes from there are (zeros follow the end).
 
     Equal windows are neighbours in the order of suffixes, so each is compared, byte by byte, with the one before.
@@ -154,7 +154,7 @@ def marks_of(strings: list[bytes], least: np.ndarray, length: int) -> np.ndarray
     owner = np.repeat(np.arange(len(widths)), widths)
     # places of the windows in the joined strings, each of which has length - 1 places more than windows
     places = np.arange(ends[-1]) + owner * (length - 1)
-    bucket = window_classes(np.frombuffer(b"".join(kinds), np.uint8), length)[places]
+    bucket = refined(np.frombuffer(b"".join(kinds), np.uint8), length)[places]
     low = np.full(bucket.max() + 1, NO_ID)
     np.minimum.at(low, bucket, lows[owner])
     low = low[bucket]

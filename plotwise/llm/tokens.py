@@ -45,8 +45,8 @@ def spelled(pre_token: str) -> str:
     return pre_token.encode().decode("latin-1").translate(BYTE_LETTERS)
 
 
-def whole_tokens(file: str) -> frozenset[str]:
-    """Vocabulary strings proved to encode alone, as one pre-token, to their one token (checked with the library itself)."""
+def whole_tokens(file: str) -> dict[str, str]:
+    """Vocabulary strings proved to encode alone, as one pre-token, to their one token (checked with the library itself), each with the vocabulary's spelling."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(file)
@@ -55,7 +55,7 @@ def whole_tokens(file: str) -> frozenset[str]:
     texts = tokenizer.decode_batch([[i] for i in ids], skip_special_tokens=False)
     alone = [(i, t) for i, t in zip(ids, texts, strict=True) if t and "�" not in t and [p for p, _ in cut(t)] == [names[i]]]
     codes = tokenizer.encode_batch([t for _, t in alone], add_special_tokens=False)
-    return frozenset(names[i] for (i, _), code in zip(alone, codes, strict=True) if code.ids == [i])
+    return {t: names[i] for (i, t), code in zip(alone, codes, strict=True) if code.ids == [i]}
 
 
 #: A space between two characters that are no white space: a byte-level pre-token always begins there.
@@ -151,7 +151,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
     """
     file = byte_bpe_file(tokenizer_path)
     special = sorted((t["content"] for t in json.loads(file)["added_tokens"]), key=len, reverse=True)
-    model, name = docs.sparkSession.sparkContext.broadcast((file, whole_tokens(file))), zlib.crc32(file.encode())
+    model, name = docs.sparkSession.sparkContext.broadcast((file, frozenset(whole_tokens(file).values()))), zlib.crc32(file.encode())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = once(("counts", name), lambda: Counts(*model.value))
