@@ -12,11 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import guarded, picked, written
+from .common import guarded, once, picked, written
 
 WORDS, DOC_BITS, META = 1 << 15, 1 << 10, 1 << 12
 META_COLUMNS = ("source", "lang", "n_chars", "url")
-SHAPE = ((re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "0"))
+#: Runs of capitals, of other letters and of digits; each becomes the mark of its group.
+RUNS, MARKS = re.compile(r"([A-ZÀ-ÖØ-Þ]+)|([^\W\d_A-ZÀ-ÖØ-Þ]+)|(\d+)"), ("", "A", "a", "0")
 #: Log odds lie between -REACH and REACH and are counted in steps of 1 / STEPS.
 REACH, STEPS = 30, 64
 #: Rows of one matrix product.
@@ -29,16 +30,16 @@ def hashed(text: str, size: int) -> int:
 
 
 class WordFeatures(dict):
-    """Of a word: the hash of its letters, and that of its shape (runs of capitals, letters, digits; marks as they are).
+    """Of a word, in one number: the hash of its letters (low 32 bits), and that of its shape (the rest).
 
-    Words of up to 64 characters are remembered, 300,000 at a time.
+    A shape has a mark for each run of capitals, of other letters and of digits; other characters stay. Words of up to 64
+    characters are remembered, 300,000 at a time.
     """
 
-    def __missing__(self, word: str) -> tuple[int, int]:
-        shape = word
-        for run, mark in SHAPE:
-            shape = run.sub(mark, shape)
-        out = (hashed("w" + word.lower(), WORDS), WORDS + hashed("s" + shape, WORDS))
+    def __missing__(self, word: str) -> int:
+        plain = word.isascii() and word.isalpha() and word.islower()
+        shape = "a" if plain else RUNS.sub(lambda run: MARKS[run.lastindex], word)
+        out = hashed("w" + word.lower(), WORDS) | WORDS + hashed("s" + shape, WORDS) << 32
         if len(word) <= 64:
             if len(self) > 300_000:
                 self.clear()
@@ -223,16 +224,16 @@ def features_of(docs: DataFrame, names: list[str]) -> DataFrame:
     """FEATURES of ``doc_id _y text`` and the metadata columns ``names``: counts of hashed words, whole text, metadata."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordFeatures()
+        known = once(("cotrain-words",), WordFeatures)
         for batch in batches:
             out = {"size": [], "at": [], "n": [], "whole": [], "meta": []}
             metas = zip(*[batch.column(c).to_pylist() for c in names], strict=True) if names else [()] * batch.num_rows
             for text, meta in zip(batch.column("text").to_pylist(), metas, strict=True):
                 words = (text or "").split()
                 counted = Counter(words)
-                pairs = np.array([known[w] for w in counted], np.int64).reshape(-1, 2)
-                at, place = np.unique(pairs.T, return_inverse=True)
-                n = np.bincount(place.ravel(), np.tile(np.array(list(counted.values()), float), 2), len(at))
+                both = np.fromiter(map(known.__getitem__, counted), np.int64, len(counted))
+                at, place = np.unique(np.concatenate([both & 0xFFFFFFFF, both >> 32]), return_inverse=True)
+                n = np.bincount(place, np.tile(np.fromiter(counted.values(), float, len(counted)), 2), len(at))
                 out["size"].append(len(at))
                 out["at"].append(at.astype("<u2").tobytes())
                 out["n"].append(n.astype("<u4").tobytes())

@@ -377,3 +377,15 @@ def test_classifier(spark, docs, rows):
     assert len(got) == 300 and all(r["kept"] == (r["doc_id"] % 3 > 0) for r in got)
     assert {r["quality"] for r in cotrain.quality(docs, labels.limit(0)).collect()} == {0.5}
     assert cotrain.quality(docs, labels).count() == len(rows)
+
+
+def test_word_shapes():
+    def brute(word):
+        kinds = [0 if "A" <= c <= "Z" or c in "ÀÉÖØÞ" else 1 if c.isalpha() else 2 if c.isdecimal() else c for c in word]
+        return [k for i, k in enumerate(kinds) if not i or k != kinds[i - 1] or k not in (0, 1, 2)]
+
+    words = ["HELLO", "Hello", "hello", "WORLD", "World", "x1", "y22", "A.B", "É.Ö", "naïve", "été", "don't", "12", "3,4", "--", "-", "z" * 1000, "Z" * 1000, "ÀB9é"]
+    known = cotrain.WordFeatures()
+    shapes = {w: known[w] >> 32 for w in words}
+    assert {w: [shapes[w] == shapes[v] for v in words] for w in words} == {w: [brute(w) == brute(v) for v in words] for w in words}
+    assert known["Hello"] & 0xFFFFFFFF == known["hello"] & 0xFFFFFFFF and known["Hello"] == cotrain.WordFeatures()["Hello"]
