@@ -2,40 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import run_dir
+from ..functions.tables import dropped, written
 
 #: A word: a run of code points other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, reread: computed once, compressed, and safe when executors go.
-
-    Files that Parquet writes keep the types and nulls of ``df``; an empty ``df`` stays empty with its schema. All tables
-    of an application go when it ends, and :func:`dropped` deletes one earlier.
-    """
-    spark = df.sparkSession
-    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.table_path = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes the files of tables that :func:`written` made and that nothing will read again."""
-    for table in tables:
-        jvm, path = table.sparkSession._jvm, table.table_path
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def guarded(docs: DataFrame, own: Iterable[str]) -> tuple[DataFrame, list[tuple[str, str]]]:
     """``docs`` with all columns but ``own`` under names that no operator uses, and the pairs (old, new) of names.
 

@@ -41,19 +41,37 @@ def with_defaults(areas: DataFrame) -> DataFrame:
     return filled.withColumns({"pass_rate": F.coalesce("pass_rate", F.lit(0.0)), "select_count": F.coalesce("select_count", F.lit(0))})
 
 
-def candidates(areas: DataFrame, rings: DataFrame, steps: DataFrame, anchor_ids: DataFrame) -> DataFrame:
-    """Areas that pass all tests of a scenario, with ``ring_mi`` and ``ring_used_mi``; anchors are none."""
-    held = with_defaults(areas).join(anchor_ids.select("area_id").distinct(), "area_id", "left_anti")
-    met = held.join(rings.withColumnRenamed("src", "area_id"), "area_id").join(F.broadcast(steps), "scenario_idx")
+def eligible(areas: DataFrame, steps: DataFrame, anchor_ids: DataFrame) -> DataFrame:
+    """Areas that are no anchors and pass, but for the ring, the loosest test of all scenarios, with defaults."""
+    loosest = steps.agg(F.max("fdr_alpha").alias("_p"), F.min("min_pass_rate").alias("_pass"), F.min("min_select").alias("_select"))
+    held = with_defaults(areas).join(F.broadcast(anchor_ids.select("area_id").distinct()), "area_id", "left_anti").join(F.broadcast(loosest))
+    return held.where("p_fdr <= _p and pass_rate >= _pass and select_count >= _select").drop("_p", "_pass", "_select")
+
+
+def passing(rings: DataFrame, steps: DataFrame) -> DataFrame:
+    """Of areas with their ``scenario_idx ring_mi`` those that pass all tests of the scenario, with ``ring_used_mi``."""
+    met = rings.join(F.broadcast(steps), "scenario_idx")
     passed = met.where("p_fdr <= fdr_alpha and pass_rate >= min_pass_rate and select_count >= min_select and ring_mi <= max_search_mi")
     return passed.withColumn("ring_used_mi", F.when(F.col("ring_mi") > 0, F.col("ring_mi")).otherwise(F.col("ring_fallback_mi")))
 
 
-def off_anchors(found: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Candidates no nearer to any anchor than their ring or the store buffer. ``anchors``: a few ``anchor_lat anchor_lon``."""
-    points = anchors.agg(F.collect_list(F.struct("anchor_lat", "anchor_lon")).alias("_anchors"))
-    away = F.forall("_anchors", lambda a: haversine(F.col("lat"), F.col("lon"), a["anchor_lat"], a["anchor_lon"]) >= F.greatest("ring_used_mi", "store_buffer_mi"))
-    return found.join(F.broadcast(points)).where(away).drop("_anchors")
+def candidates(areas: DataFrame, rings: DataFrame, steps: DataFrame, anchor_ids: DataFrame) -> DataFrame:
+    """Areas that pass all tests of a scenario, with ``ring_mi`` and ``ring_used_mi``; anchors are none."""
+    held = eligible(areas, steps, anchor_ids)
+    return passing(held.join(rings.withColumnRenamed("src", "area_id"), "area_id"), steps)
+
+
+def with_anchor_miles(points: DataFrame, anchors: DataFrame) -> DataFrame:
+    """``points`` with ``anchor_mi``, the miles to the nearest of a few ``anchor_lat anchor_lon`` (infinite without any)."""
+    listed = anchors.agg(F.collect_list(F.struct("anchor_lat", "anchor_lon")).alias("_anchors"))
+    miles = F.array_min(F.transform("_anchors", lambda a: haversine(F.col("lat"), F.col("lon"), a["anchor_lat"], a["anchor_lon"])))
+    return points.join(F.broadcast(listed)).withColumn("anchor_mi", F.coalesce(miles, F.lit(float("inf")))).drop("_anchors")
+
+
+def off_anchors(found: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """Candidates no nearer to any anchor than their ring or the store buffer. ``anchors``: a few ``anchor_lat anchor_lon``, or None if ``found`` has ``anchor_mi``."""
+    away = found if anchors is None else with_anchor_miles(found, anchors)
+    return away.where("anchor_mi >= greatest(ring_used_mi, store_buffer_mi)").drop("anchor_mi")
 
 
 ORDER = ("_pass", "_select", "row_ord", "area_id")
@@ -63,51 +81,66 @@ def _ordered(found: DataFrame) -> DataFrame:
     return found.withColumns({"_pass": -F.col("pass_rate"), "_select": -F.col("select_count")})
 
 
-def spaced(found: DataFrame, most: int = MOST_SITES, most_folded: int = 100_000) -> DataFrame:
+def spaced(found: DataFrame, most: int = MOST_SITES, most_folded: int = 1000) -> DataFrame:
     """The greedy choice in each scenario: ``scenario_idx area_id kept_rank``.
 
     Candidates come by falling pass rate and select count, then row order; one stays if it is at least the larger of
-    both rings away from all that stayed before, up to ``most``. Up to ``most_folded`` candidates a scenario are folded
-    in one list; beyond, each round takes the best candidate left of every scenario (a minimum, aggregated before
-    the shuffle) and drops those too near to it, so no task holds a scenario. Both ways choose alike.
+    both rings away from all that stayed before, up to ``most``. See :func:`_chosen`.
     """
-    found = _ordered(found).select("scenario_idx", *ORDER, "lat", "lon", "ring_used_mi")
-    largest = found.groupBy("scenario_idx").count().agg(F.max("count")).first()[0] or 0
-    return _folded(found, most) if largest <= most_folded else _by_rounds(found, most)
+    rows = _chosen(found, most, most_folded)
+    return rows.select("scenario_idx", F.col("_row.area_id").alias("area_id"), "kept_rank")
 
 
 def _near(a: Column, b: Column) -> Column:
     return haversine(a["lat"], a["lon"], b["lat"], b["lon"]) < F.greatest(a["ring_used_mi"], b["ring_used_mi"])
 
 
-def _folded(found: DataFrame, most: int) -> DataFrame:
-    row = F.struct(*ORDER, "lat", "lon", "ring_used_mi")
+def _chosen(found: DataFrame, most: int, most_folded: int) -> DataFrame:
+    """``scenario_idx _row kept_rank``; ``_row``: all columns of a candidate that stays.
+
+    The first ``most_folded`` candidates of each scenario (each task sends no more) are folded in one list. The choice
+    is over where ``most`` stayed or no candidate comes after; elsewhere the next candidates after the list, of those not
+    near to any that stayed, are folded on it, until all scenarios are over. So every candidate has its turn, no task
+    holds a scenario, and ``found``, which is computed once a round, is nowhere stored. Up to 1000 Spark cuts each task's
+    rows before they move.
+    """
+    found = _ordered(found)
+    row = F.struct(*ORDER, *[c for c in found.columns if c not in (*ORDER, "scenario_idx")])
     kind = found.select(F.array(row).alias("x")).schema["x"].dataType
-    lists = found.groupBy("scenario_idx").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    first = Window.partitionBy("scenario_idx").orderBy(*ORDER)
 
     def step(kept: Column, x: Column) -> Column:
         full = (F.size(kept) >= most) | F.exists(kept, lambda k: _near(k, x))
         return F.when(full, kept).otherwise(F.concat(kept, F.array(x)))
 
-    kept = F.aggregate("_rows", F.array().cast(kind), step)
-    return lists.select("scenario_idx", F.posexplode(kept).alias("_n", "_row")).select("scenario_idx", F.col("_row.area_id").alias("area_id"), (F.col("_n") + 1).cast("int").alias("kept_rank"))
-
-
-def _by_rounds(found: DataFrame, most: int) -> DataFrame:
-    row, out = F.struct(*ORDER, "lat", "lon", "ring_used_mi"), None
-    for n in range(most):
-        best = settled(found.groupBy("scenario_idx").agg(F.min(row).alias("_best")))  # a row a scenario
-        kept = best.select("scenario_idx", F.col("_best.area_id").alias("area_id"), F.lit(n + 1).alias("kept_rank"))
-        out = kept if out is None else out.union(kept)
-        if best.isEmpty():
-            break
-        found = settled(found.join(F.broadcast(best), "scenario_idx").where((F.col("area_id") != F.col("_best.area_id")) & ~_near(F.col("_best"), row)).drop("_best"))
-    return out
-
-
-def kept_sites(found: DataFrame, **options) -> DataFrame:
-    """The chosen candidates with all their columns."""
-    return found.join(spaced(found, **options), ["scenario_idx", "area_id"])
+    over, held = None, None  # held: of scenarios that are not over, what stayed and the last candidate that had its turn
+    while True:
+        rest = found
+        if held is not None:
+            here = F.struct(*ORDER)
+            rest = found.join(F.broadcast(held), "scenario_idx").where((here > F.col("_last")) & ~F.exists("_kept", lambda k: _near(k, F.struct("lat", "lon", "ring_used_mi"))))
+            rest = rest.drop("_kept", "_last")
+        top = rest.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= most_folded).drop("_place")
+        lists = top.groupBy("scenario_idx").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+        begin = F.array().cast(kind)
+        if held is not None:  # a scenario without further candidates is over, too
+            lists = held.drop("_last").join(lists, "scenario_idx", "left")
+            begin = F.col("_kept")
+        folded = F.aggregate(F.coalesce("_rows", F.array().cast(kind)), begin, step)
+        more = F.coalesce(F.size("_rows"), F.lit(0)) >= most_folded
+        lists = lists.select("scenario_idx", folded.alias("_kept"), F.when(more, F.struct(*[F.element_at("_rows", -1)[c].alias(c) for c in ORDER])).alias("_last"))
+        lists = settled(lists)
+        done = (F.size("_kept") >= most) | F.col("_last").isNull()
+        over = lists.where(done) if over is None else over.union(lists.where(done))
+        held = lists.where(~done)
+        if held.isEmpty():
+            return over.select("scenario_idx", F.posexplode("_kept").alias("_n", "_row")).select("scenario_idx", "_row", (F.col("_n") + 1).cast("int").alias("kept_rank"))
+
+
+def kept_sites(found: DataFrame, most: int = MOST_SITES, most_folded: int = 1000) -> DataFrame:
+    """The chosen candidates with all their columns, and ``kept_rank``."""
+    rows = _chosen(found, most, most_folded)
+    return rows.select("scenario_idx", *[F.col("_row")[c].alias(c) for c in found.columns if c != "scenario_idx"], "kept_rank")
 
 
 def summary(kept: DataFrame, steps: DataFrame) -> DataFrame:

@@ -45,6 +45,30 @@ def test_greedy_both_ways(spark, places):
         assert {tuple(r) for r in ladder.spaced(df, most_folded=most).collect()} == want
 
 
+def test_ring_steps_need_no_table_of_pairs(spark, places):
+    rnd = random.Random(7)
+    rows = [(*p, float(rnd.randrange(4))) for p in places]
+    far = [("far", 41.5, -73.0, 1.0), ("nowhere", None, None, 1.0)]
+    df = spark.createDataFrame([*rows, *far], "area_id string, lat double, lon double, weight double")
+    steps = spark.createDataFrame([(k, float(d), m) for k, (d, m) in enumerate([(1, 2.0), (5, 2.0), (12, 2.0), (12, 0.3), (400, 2.0)])], "scenario_idx int, demand double, max_search_mi double")
+    pairs = spatial.cumulative_weights(spatial.range_join(df, df, 2.0), df)
+    want = {tuple(r) for r in spatial.demand_rings(pairs, steps).collect()}
+    for enough in (12.0, 400.0):
+        near = spatial.ring_steps(df, df, 2.0, enough, pairs_each=8)
+        reached = steps.where(f"demand <= {enough}")
+        got = {tuple(r) for r in spatial.demand_rings(near, reached).collect()}
+        assert got == {r for r in want if r[1] < (4 if enough < 400 else 5)} and got
+    assert spatial.ring_steps(df, df, 2.0, 12.0, pairs_each=8).count() < pairs.count() / 3
+
+
+def test_chosen_in_several_lists(spark, places):
+    rnd = random.Random(11)
+    rows = [(0, p[0], i, p[1], p[2], 0.5, 1, rnd.choice([0.8, 1.0, 1.5])) for i, p in enumerate(places)] + [(1, p[0], i, p[1], p[2], 0.5, 1, 3.0) for i, p in enumerate(places)]
+    df = spark.createDataFrame(rows, "scenario_idx int, area_id string, row_ord int, lat double, lon double, pass_rate double, select_count int, ring_used_mi double")
+    whole = {tuple(r) for r in ladder.kept_sites(df, most_folded=1000).collect()}
+    assert whole == {tuple(r) for r in ladder.kept_sites(df, most_folded=3).collect()} and len({r[0] for r in whole}) == 2
+
+
 def test_twins_first_come_first_served(spark, places):
     rnd = np.random.default_rng(1)
     z = {p[0]: rnd.normal(size=2) for p in places}
