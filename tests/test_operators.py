@@ -69,6 +69,21 @@ def test_chosen_in_several_lists(spark, places):
     assert whole == {tuple(r) for r in ladder.kept_sites(df, most_folded=3).collect()} and len({r[0] for r in whole}) == 2
 
 
+def test_twins_by_miles_as_by_edges(spark, places):
+    rnd = np.random.default_rng(6)
+    points = spark.createDataFrame([(p[0], "x", p[1], p[2], [float(v) for v in rnd.normal(size=2)]) for p in places], "area_id string, borough string, lat double, lon double, z array<double>").localCheckpoint()
+    anchored = twins.anchor_rows(spark.createDataFrame([(p[0],) for p in places[:6]], "area_id string"), points, spark.createDataFrame([(None, [1.0, 1.0])], "borough string, variances array<double>"))
+    limits = spark.createDataFrame([(p[0], 2.0) for p in places[:6]], "anchor string, threshold double")
+    edges = spatial.range_join(points, points, 0.8)
+    members = spatial.around(anchored, points, 1.2, "a_lat", "a_lon").select("anchor", "area_id")
+    rounded = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else str(x) for x in r) for r in df.collect())
+    for f in (
+        lambda e: twins.neighbour_distances(anchored, e, points), lambda e: twins.contiguous_twins(anchored, e, points, limits), lambda e: twins.ray_walk(anchored, e, points, limits),
+        lambda e: twins.profiles(anchored, members, points, e).select("anchor", "cluster_size", "adj_density"),
+    ):
+        assert rounded(f(0.8)) == rounded(f(edges)) != []
+
+
 def test_twins_first_come_first_served(spark, places):
     rnd = np.random.default_rng(1)
     z = {p[0]: rnd.normal(size=2) for p in places}
