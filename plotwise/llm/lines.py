@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, guarded, joined_to_one, restored, written
+from .common import WORD, dropped, guarded, joined_to_one, restored, written
 
 ADDED = ["n_lines", "n_removed_lines", "n_removed_chunks"]
 
@@ -29,25 +29,16 @@ def with_chunks(docs: DataFrame, divisor: int) -> DataFrame:
 
     def chunk(end: Column, k: Column) -> Column:
         begin = F.coalesce(F.get("_ends", k - 1), F.lit(-1)) + 1
-        return F.struct(F.array_join(F.slice("_lines", begin + 1, end - begin + 1), "\n").alias("text"), (end - begin + 1).alias("lines"))
+        return F.struct(F.array_join(F.slice("_lines", begin + 1, end - begin + 1), "\n").alias("text"), (end - begin + 1).alias("lines"), begin.alias("begin"))
 
     return cut.withColumn("_chunks", F.transform("_ends", chunk)).drop("_lines", "_ends")
 
 
-def line_dedup(docs: DataFrame, divisor: int = 3) -> DataFrame:
-    """``docs`` with repeated multi-line chunks taken out of ``text``, and ``n_lines n_removed_lines n_removed_chunks``.
-
-    Texts are cut into chunks of lines (:func:`chunk_ends`). Of all chunks of two or more lines with a word that are
-    equal byte by byte, in one document or several, the first stays (by ``doc_id``, null last, then MD5 of the text,
-    then place); the others go with their line breaks. A text all of whose chunks go is empty; a null text stays null
-    (0 lines). Rows with equal id and text are one document and get the same result. Columns of ``docs`` with the names
-    above are replaced; an ``n_chars`` follows the text if ``docs`` has one.
+def repeated_chunks(docs: DataFrame, divisor: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``_at _begin _lines`` of the chunks that go from ``docs`` (see :func:`line_dedup`), and the written tables behind it.
 
-    Hashes alone move first, then the text of chunks whose hash comes again, once a task, to be compared. Each first
-    place is joined back by :func:`plotwise.llm.common.joined_to_one`, so a chunk of a third of all documents is no
-    task's list. Whole texts move for the final join.
+    ``_at``: id, MD5 and place of the chunk in its document; ``_begin``: its first line.
     """
-    docs, names = guarded(docs, {"doc_id", "text", "n_chars"})
     # explode_outer: for explode the optimizer would build the chunks once more, inlined, to filter out empty arrays
     identity = [F.col("doc_id").alias("_id"), F.md5("text").alias("_md5")]
     multi = with_chunks(docs.select("doc_id", "text").where(F.col("text").contains("\n")), divisor).select(*identity, F.posexplode_outer("_chunks").alias("_place", "_chunk")).where((F.col("_chunk.lines") > 1) & F.col("_chunk.text").rlike(WORD))
@@ -57,17 +48,34 @@ def line_dedup(docs: DataFrame, divisor: int = 3) -> DataFrame:
     again = written(again.where("_low <> _high").select("_hash", "_n"), "line-hashes")
     # read again below; as a table the chunks move once
     repeats = joined_to_one(hashed, again, "_hash", "left_semi")
-    found = written(repeats.select("_hash", F.col("_chunk.text").alias("_bytes"), place.alias("_at")), "line-chunks")
+    found = written(repeats.select("_hash", F.col("_chunk.text").alias("_bytes"), place.alias("_at"), F.col("_chunk.begin").alias("_begin"), F.col("_chunk.lines").alias("_lines")), "line-chunks")
     first = lambda rows: rows.groupBy("_hash", "_bytes").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     kinds = first(found).groupBy("_hash").agg(F.count("*").alias("_kinds"), F.min("_first").alias("_first"), F.sum("_n").alias("_n"))
     kinds = written(kinds, "line-firsts")
     # a hash of one byte string stands for it; strings that share a hash meet by their bytes
-    later = joined_to_one(found.select("_hash", "_at"), kinds.where("_kinds = 1").drop("_kinds"), "_hash").select("_at", "_first")
+    later = joined_to_one(found.select("_hash", "_at", "_begin", "_lines"), kinds.where("_kinds = 1").drop("_kinds"), "_hash").select("_at", "_begin", "_lines", "_first")
     shared = kinds.where("_kinds > 1")
     if not shared.isEmpty():
         some = found.join(shared.select("_hash"), "_hash", "left_semi")
-        later = later.union(some.join(first(some).drop("_n"), ["_hash", "_bytes"]).select("_at", "_first"))
-    later = later.where("_at <> _first")
+        later = later.union(some.join(first(some).drop("_n"), ["_hash", "_bytes"]).select("_at", "_begin", "_lines", "_first"))
+    return later.where("_at <> _first").select("_at", "_begin", "_lines"), [again, found, kinds]
+
+
+def line_dedup(docs: DataFrame, divisor: int = 3) -> DataFrame:
+    """``docs`` with repeated multi-line chunks taken out of ``text``, and ``n_lines n_removed_lines n_removed_chunks``.
+
+    Texts are cut into chunks of lines (:func:`chunk_ends`). Of all chunks of two or more lines with a word that are
+    equal byte by byte, in one document or several, the first stays (by ``doc_id``, null last, then MD5 of the text,
+    then place); the others go with their line breaks. A text all of whose chunks go is empty; a null text stays null
+    (0 lines). Rows with equal id and text are one document and get the same result. Columns of ``docs`` with the names
+    above are replaced; an ``n_chars`` follows the text if ``docs`` has one.
+
+    Hashes alone move first, then the text of chunks whose hash comes again, once a task, to be compared. Each first
+    place is joined back by :func:`plotwise.llm.common.joined_to_one`, so a chunk of a third of all documents is no
+    task's list. Whole texts move for the final join.
+    """
+    docs, names = guarded(docs, {"doc_id", "text", "n_chars"})
+    later, _ = repeated_chunks(docs, divisor)
     gone = later.groupBy(F.col("_at.id").alias("_id"), F.col("_at.md5").alias("_md5")).agg(F.collect_set("_at.place").alias("_gone"))
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5("text") == F.col("_md5")), "left")
     # only texts that lose something are cut once more
@@ -85,7 +93,7 @@ def line_dedup(docs: DataFrame, divisor: int = 3) -> DataFrame:
     return restored(cut.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns], *[v.alias(k) for k, v in added.items()]), names, ADDED)
 
 
-def passage_dedup(docs: DataFrame) -> DataFrame:
+def passage_dedup(docs: DataFrame, divisor: int | None = None) -> DataFrame:
     """``docs`` without the lines of ``text`` that are in a repeated run of two or more lines.
 
     Of all pairs of adjacent lines with a word that are equal byte for byte, in one document or several, the first stays
@@ -94,7 +102,12 @@ def passage_dedup(docs: DataFrame) -> DataFrame:
     pair may share a line with the first of its kind: that line stays. Each line that goes is still there at an earlier
     place. Rows with equal id and text are one document; null texts stay null and an ``n_chars`` follows the text.
 
-    A pair moves as its SHA-256, which stands for its bytes (a line break keeps its two lines apart).
+    With a ``divisor`` the chunks that :func:`line_dedup` takes out go first, and the pairs are the exact check for what
+    borders of chunks cut. Both are judged on the input, and each line that goes has an earlier place, so the first of
+    its kind stays in any case.
+
+    A pair moves as its SHA-256, which stands for its bytes (a line break keeps its two lines apart). Tables in between
+    are deleted at once; the numbers of the lines that go are kept for the result.
     """
     docs, names = guarded(docs, {"doc_id", "text", "n_chars"})
     cut = docs.select(F.col("doc_id").alias("_id"), F.md5("text").alias("_md5"), F.split("text", "\n").alias("_lines")).where(F.col("text").contains("\n"))
@@ -107,7 +120,13 @@ def passage_dedup(docs: DataFrame) -> DataFrame:
     later = joined_to_one(found, first, "_key").where("_at <> _first")
     begin, own = F.col("_at.place"), (F.col("_at.id").eqNullSafe(F.col("_first.id"))) & (F.col("_at.md5") == F.col("_first.md5"))
     lost = F.when(own & (begin == F.col("_first.place") + 1), F.array(begin + 1)).otherwise(F.array(begin, begin + 1))
-    gone = later.select(F.col("_at.id").alias("_id"), F.col("_at.md5").alias("_md5"), lost.alias("_lost")).groupBy("_id", "_md5").agg(F.flatten(F.collect_list("_lost")).alias("_gone"))
+    of = lambda rows, lines: rows.select(F.col("_at.id").alias("_id"), F.col("_at.md5").alias("_md5"), lines.alias("_lost"))
+    parts, tables = of(later, lost), [found, first]
+    if divisor is not None:
+        chunks, made = repeated_chunks(docs, divisor)
+        parts, tables = of(chunks, F.sequence("_begin", F.col("_begin") + F.col("_lines") - 1)).union(parts), tables + made
+    gone = written(parts.groupBy("_id", "_md5").agg(F.array_distinct(F.flatten(F.collect_list("_lost"))).alias("_gone")), "line-gone")
+    dropped(*tables)
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5("text") == F.col("_md5")), "left")
     lines = F.split("text", "\n")
     stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))

@@ -311,6 +311,26 @@ def test_repeated_passages_go_whole(spark, docs, rows):
     assert lines.passage_dedup(docs.limit(0)).count() == 0
 
 
+def test_pipeline_takes_chunks_and_what_their_borders_cut(spark, monkeypatch):
+    import corpus_pipeline
+
+    run, rnd = [f"the line {i}" for i in range(12)], random.Random(4)
+    rows = [(i, "\n".join([f"own {i} {rnd.random()}", *run[i % 4 : 12 - i % 3], f"end {i} {rnd.random()}"]), i) for i in range(8)]
+    rows += [(20, "\n".join([*run, "", "", "last"]), 0), (21, "\n".join(["", "", "last"]), 1), (22, None, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int")
+    found = []
+    monkeypatch.setattr(lines, "repeated_chunks", lambda *a, f=lines.repeated_chunks: found.append(f(*a)) or found[-1])
+    got = {r["doc_id"]: r for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
+    whole, pairs = ({r["doc_id"]: r["text"] for r in f(df).collect()} for f in (lines.line_dedup, lines.passage_dedup))
+    assert len(found) >= 1 and {i: r["n_lines"] for i, r in got.items()} == {r[0]: r[2] for r in rows}
+    for i, text, _ in rows[:-1]:
+        left = got[i]["text"].split("\n")
+        assert all(left.count(x) <= min(other[i].split("\n").count(x) for other in (whole, pairs)) for x in set(left))
+        assert any(got[j]["text"] is not None and x in got[j]["text"].split("\n") for x in text.split("\n") for j in got)
+    assert {x for r in got.values() if r["text"] for x in r["text"].split("\n")} >= {x for _, t, _ in rows if t for x in t.split("\n")} - {""}
+    assert got[22]["text"] is None
+
+
 @pytest.mark.parametrize("options", [{}, {"window": 64, "quantum": 16, "block_tokens": 500}, {"most_broadcast": 0}])
 def test_packing(docs, rows, options):
     from tokenizers import Tokenizer
