@@ -4,6 +4,7 @@ import inspect
 import json
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -133,6 +134,40 @@ def test_search_takes_all_rows(spark):
     assert plans.pca_kmeans_search(spark, "/root/testdata/sf0.001").count() == 80
 
 
+def plain_lloyd(x, centres, most_steps=100):
+    for _ in range(most_steps):
+        d = search.distances2(x, centres)
+        at = d.argmin(axis=1)
+        n = np.bincount(at, minlength=len(centres))
+        new = np.stack([np.bincount(at, x[:, j], len(centres)) for j in range(x.shape[1])], 1) / np.maximum(n, 1)[:, None]
+        if (n == 0).any():
+            new[n == 0] = x[d.min(axis=1).argsort()[::-1][: (n == 0).sum()]]
+        moved, centres = np.abs(new - centres).max(), new
+        if moved < 1e-6:
+            break
+    return centres, search.distances2(x, centres).min(axis=1).sum()
+
+
+def test_kmeans_agrees_with_full_passes_in_far_less_time(monkeypatch):
+    rnd = np.random.default_rng(6)
+    x = rnd.normal(size=(4000, 6))
+    starts = x[rnd.integers(0, len(x), (20, 10))]
+    starts[3, 7] = 100.0  # a centre without points
+    began = time.process_time()
+    plain = [plain_lloyd(x, c) for c in starts]
+    middle = time.process_time()
+    centres, costs = search.lloyd(x, starts)
+    assert 2 * (time.process_time() - middle) < middle - began
+    assert np.allclose(centres, [c for c, _ in plain]) and np.allclose(costs, [c for _, c in plain])
+    monkeypatch.setattr(search, "TILE", 100)
+    assert np.allclose(search.lloyd(x, starts[:4])[0], centres[:4])
+    whole = search.kmeans(x, 5, 4, np.random.default_rng(1))
+    monkeypatch.setattr(search, "BATCH", 1)  # each start alone
+    assert np.allclose(search.kmeans(x, 5, 4, np.random.default_rng(1)), whole)
+    for k, points in ((1, x[:9]), (3, np.zeros((5, 2))), (4, np.repeat(x[:2], 3, 0))):
+        assert search.kmeans(points, k, 3, np.random.default_rng(0)).shape == (k, points.shape[1])
+
+
 def test_robust_scale_of_flat_and_empty_columns(spark):
     df = spark.createDataFrame([(1.0, None), (1.0, None), (float("nan"), None)], "a double, b double")
     assert [tuple(r)[2:] for r in features.robust_scale(df, ["a", "b"]).collect()] == [(0.0, 0.0)] * 3
