@@ -57,6 +57,11 @@ def joined_to_one(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner
     return rows.join(F.broadcast(hot), key, how).unionByName(others.join(rest, key, how))
 
 
+def sent_if_few(rows: DataFrame, n: int, most: int = 1_000_000) -> DataFrame:
+    """``rows``, broadcast to what they are joined with if ``n``, a count of them, is ``most`` at most; else they meet it by shuffle."""
+    return F.broadcast(rows) if n <= most else rows
+
+
 _OF_WORKER: dict = {}
 
 

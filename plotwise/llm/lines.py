@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, dropped, guarded, joined_to_one, restored, written
+from .common import WORD, dropped, guarded, joined_to_one, restored, sent_if_few, written
 
 ADDED = ["n_lines", "n_removed_lines", "n_removed_chunks"]
 
@@ -93,7 +93,7 @@ def line_dedup(docs: DataFrame, divisor: int = 3) -> DataFrame:
     return restored(cut.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns], *[v.alias(k) for k, v in added.items()]), names, ADDED)
 
 
-def passage_dedup(docs: DataFrame, divisor: int | None = None) -> DataFrame:
+def passage_dedup(docs: DataFrame, divisor: int | None = None, most_broadcast: int = 500_000) -> DataFrame:
     """``docs`` without the lines of ``text`` that are in a repeated run of two or more lines.
 
     Of all pairs of adjacent lines with a word that are equal byte for byte, in one document or several, the first stays
@@ -107,7 +107,8 @@ def passage_dedup(docs: DataFrame, divisor: int | None = None) -> DataFrame:
     its kind stays in any case.
 
     A pair moves as its SHA-256, which stands for its bytes (a line break keeps its two lines apart). Tables in between
-    are deleted at once; the numbers of the lines that go are kept for the result.
+    are deleted at once; the numbers of the lines that go are kept for the result. Up to ``most_broadcast`` of these are
+    broadcast, so that no text moves; more meet the texts by shuffle.
     """
     docs, names = guarded(docs, {"doc_id", "text", "n_chars"})
     cut = docs.select(F.col("doc_id").alias("_id"), F.md5("text").alias("_md5"), F.split("text", "\n").alias("_lines")).where(F.col("text").contains("\n"))
@@ -127,7 +128,8 @@ def passage_dedup(docs: DataFrame, divisor: int | None = None) -> DataFrame:
         parts, tables = of(chunks, F.sequence("_begin", F.col("_begin") + F.col("_lines") - 1)).union(parts), tables + made
     gone = written(parts.groupBy("_id", "_md5").agg(F.array_distinct(F.flatten(F.collect_list("_lost"))).alias("_gone")), "line-gone")
     dropped(*tables)
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5("text") == F.col("_md5")), "left")
+    losses = gone.agg(F.sum(F.size("_gone") + 1)).first()[0] or 0
+    joined = docs.join(sent_if_few(gone, losses, most_broadcast), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5("text") == F.col("_md5")), "left")
     lines = F.split("text", "\n")
     stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     held = joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), lines)).withColumn("_stays", F.when(F.col("_gone").isNotNull(), stays))

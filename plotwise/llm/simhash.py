@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import guarded, joined_to_one, picked, restored, written
+from .common import guarded, joined_to_one, picked, restored, sent_if_few, written
 from .graph import components
 
 BATCH = 1 << 16
@@ -91,17 +91,19 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     return out.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, radius: int = 2, width: int = 3, most_broadcast: int = 1_000_000) -> DataFrame:
     """The rows of ``docs``, one for each component of :func:`near_duplicates`: that with the smallest ``doc_id``.
 
     Of rows that repeat an id the one with the least hash of its columns stays (of equal hashes, any: 64 bits). Rows
-    with a null id can't be named and stay.
+    with a null id can't be named and stay. Up to ``most_broadcast`` ids are broadcast to the rows; for more, rows move.
     """
     held, names = guarded(docs, {"doc_id", "text"})
     first = written(near_duplicates(held, radius, width).where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n")), "simhash-first")
-    kept = held.join(first, F.col("doc_id") == F.col("_kept"), "left_semi")
+    kept = held.join(sent_if_few(first, first.count(), most_broadcast), F.col("doc_id") == F.col("_kept"), "left_semi")
     again = first.where("_n > 1").select("_kept")
-    if not again.isEmpty():
+    n_again = again.count()
+    if n_again:
+        again = sent_if_few(again, n_again, most_broadcast)
         columns = held.columns
         several = kept.join(again, F.col("doc_id") == F.col("_kept"), "left_semi")
         one = several.groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row")).select("_row.*")

@@ -150,6 +150,35 @@ def test_no_near_pair_stays(spark, docs, rows):
     assert shingles.without_near(docs.limit(0)).count() == 0
 
 
+def test_texts_with_a_common_passage_are_few_pairs(spark, monkeypatch):
+    rnd = random.Random(3)
+    word = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    passage = word(100)
+    texts = [" ".join(passage + word(26)) for _ in range(60)]
+    texts += [texts[50] + " end", *[" ".join(passage[:k] + word(12) + passage[k + 12 :]) for k in (20, 60)]]
+    pairs = []
+    kept = shingles.written
+    monkeypatch.setattr(shingles, "written", lambda df, name: pairs.append(kept(df, name).count()) or kept(df, name) if name == "near-pairs" else kept(df, name))
+    stay = {r[0] for r in shingles.without_near(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert stay == set(range(63)) - {60}
+    assert sum(pairs[1:]) < 100 and sum(pairs) < 500  # 1,953 pairs share the passage
+
+
+def test_few_ids_move_no_text(spark, docs, monkeypatch):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        one = {f: f(docs) for f in (lines.passage_dedup, simhash.one_of_each)}
+        near = shingles.without_near(docs.where("doc_id < 60").dropDuplicates(["doc_id"]))
+        for df in (*one.values(), near):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan, plan
+        for f, df in one.items():
+            assert sorted(map(str, f(docs, most_broadcast=0).collect())) == sorted(map(str, df.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_ball_links_connect_all(spark):
     rnd = random.Random(2)
     prints = [rnd.getrandbits(64) for _ in range(40)]
