@@ -16,8 +16,9 @@ from .common import picked, written
 NO_ID = np.iinfo(np.int64).max  # stands for a null id: larger than all others, smaller than none
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-SUBS = 16  # parts of a part, sorted one after the other
+SUB_BYTES = 384 << 10  # bytes of texts that a sub-part stands for; the sub-parts of a part are sorted one after the other
 RUN = 31  # windows in a run at most: their marks fit 32 bits
+CHUNK = 1 << 15  # windows whose keys are made at once
 BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("texts", pa.binary())])
 
 
@@ -74,10 +75,8 @@ SLICES = 16  # slices of the buckets, refined one after the other
 
 def leading_words(data: np.ndarray) -> np.ndarray:
     """The ``Q`` bytes that begin at each place, zeros after the end, as numbers in the order of the bytes."""
-    padded, words = np.concatenate([data, np.zeros(Q, np.uint8)]), np.zeros(len(data), np.uint64)
-    for j in range(Q):
-        words = words << np.uint64(8) | padded[j : j + len(data)]
-    return words
+    padded = np.concatenate([data, np.zeros(Q - 1, np.uint8)])
+    return np.ndarray(len(data), f">u{Q}", padded, strides=(1,)).astype(np.uint64)
 
 
 def suffix_order(words: np.ndarray, length: int) -> np.ndarray:
@@ -124,22 +123,26 @@ def suffix_order(words: np.ndarray, length: int) -> np.ndarray:
     return order
 
 
-def refined(data: np.ndarray, length: int) -> np.ndarray:
-    """A number for each place of ``data``, the same if and only if the ``length`` bytes from there are (zeros follow the end).
+def refined(data: np.ndarray, length: int, places: np.ndarray | None = None) -> np.ndarray:
+    """A number for each of ``places`` (all), the same if and only if the ``length`` bytes from there are (zeros follow the end).
 
     Equal windows are neighbours in the order of suffixes, so each is compared, byte by byte, with the one before.
     """
     words = leading_words(data)
     n = len(words)
+    places = np.arange(n) if places is None else places
     order = suffix_order(words, length)
-    same = np.ones(max(n - 1, 0), bool)
+    asked = np.full(n, -1)
+    asked[places] = np.arange(len(places))
+    by = asked[order]
+    by = by[by >= 0]
+    at, padded = places[by], np.concatenate([words, np.zeros(length, np.uint64)])
+    same = np.ones(max(len(at) - 1, 0), bool)
     for offset in range(0, length, Q):
-        offset = min(offset, max(length - Q, 0))
-        part = np.concatenate([words[offset:], np.zeros(min(offset, n), np.uint64)]) >> np.uint64(8 * max(0, Q - length))
-        there = part[order]
+        there = padded[at + min(offset, max(length - Q, 0))] >> np.uint64(8 * max(0, Q - length))
         same &= there[1:] == there[:-1]
-    classes = np.empty(n, np.int64)
-    classes[order] = np.concatenate([np.zeros(min(n, 1), np.int64), np.cumsum(~same)])
+    classes = np.empty(len(places), np.int64)
+    classes[by] = np.concatenate([np.zeros(min(len(at), 1), np.int64), np.cumsum(~same)])
     return classes
 
 
@@ -154,7 +157,7 @@ def marks_of(strings: list[bytes], least: np.ndarray, length: int) -> np.ndarray
     owner = np.repeat(np.arange(len(widths)), widths)
     # places of the windows in the joined strings, each of which has length - 1 places more than windows
     places = np.arange(ends[-1]) + owner * (length - 1)
-    bucket = refined(np.frombuffer(b"".join(kinds), np.uint8), length)[places]
+    bucket = refined(np.frombuffer(b"".join(kinds), np.uint8), length, places)
     low = np.full(bucket.max() + 1, NO_ID)
     np.minimum.at(low, bucket, lows[owner])
     low = low[bucket]
@@ -165,82 +168,117 @@ def marks_of(strings: list[bytes], least: np.ndarray, length: int) -> np.ndarray
     return np.add.reduceat(marks, begins, dtype=np.uint32)
 
 
+def parts_of(total: int, part_bytes: int, many_parts: int) -> tuple[int, int]:
+    """How many parts there are for texts of ``total`` bytes, and how many sub-parts a part has."""
+    parts = max(1, -(-total // part_bytes))
+    parts = max(min(parts, many_parts), -(-parts // 4))
+    return parts, max(1, min(256, -(-total // (parts * SUB_BYTES))))
+
+
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     """Part of a key; larger keys are in later parts."""
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 class Block:
-    """The documents of a block row, and the runs of their windows that may occur elsewhere."""
+    """The documents of a block row, one after the other, and the runs of their windows: of one document and one key each."""
 
     def __init__(self, row: dict, length: int, q: int):
         self.ids = np.array([NO_ID if x is None else x for x in row["doc_ids"]], np.int64)
-        whole = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["texts"]), np.uint8)
-        ends = np.cumsum([0, *row["lengths"]])
-        self.texts = [whole[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        self.raw = zstandard.ZstdDecompressor().decompress(row["texts"])
+        self.whole = np.frombuffer(self.raw, np.uint8)
+        self.ends = np.cumsum([0, *row["lengths"]])
         self.length = length
-        self.keys = [window_keys(t, length, q) if len(t) >= length else np.zeros(0, np.uint64) for t in self.texts]
+        lasts = np.maximum(self.ends[1:] - length + 1, self.ends[:-1])  # where the windows of a document end
+        starts, least = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        heads, before = self.ends[:-1][lasts > self.ends[:-1]], None
+        for lo in range(0, len(self.whole) - length + 1, CHUNK):
+            low = sliding_min(window_hashes(self.whole[lo : lo + CHUNK + length - 1], q), length - q + 1)
+            new = np.empty(len(low), bool)
+            new[0], new[1:] = low[0] != before, low[1:] != low[:-1]
+            a, b = np.searchsorted(heads, [lo, lo + len(low)])
+            new[heads[a:b] - lo] = True
+            at = np.flatnonzero(new)
+            starts.append(at + lo)
+            least.append(low[at])
+            before = low[-1]
+        starts, least = np.concatenate(starts), np.concatenate(least)
+        doc = np.searchsorted(self.ends, starts, side="right") - 1
+        sizes = np.minimum(np.append(starts[1:], len(self.whole)), lasts[doc]) - starts
+        held = np.flatnonzero(sizes > 0)  # the others are windows over the end of a document
+        self.doc, self.starts, self.sizes = doc[held], starts[held], sizes[held]
+        keys = mixed(least[held])
+        order = np.argsort(keys)
+        new = np.concatenate([[True], np.diff(keys[order]) != 0])[: len(keys)]
+        self.firsts, self.order = np.flatnonzero(new), order
+        self.known = keys[order[self.firsts]]
+        self.key = np.empty(len(keys), np.int64)  # the place of a run's key among the distinct ones
+        self.key[order] = np.cumsum(new) - 1
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct keys in order, and whether documents of different ids have each."""
-        changes = [k[np.concatenate([[True], k[1:] != k[:-1]])] if len(k) else k for k in self.keys]
-        keys, owner = np.concatenate([np.zeros(0, np.uint64), *changes]), np.repeat(self.ids, [len(c) for c in changes])
-        order = np.argsort(keys, kind="stable")
-        keys, owner = keys[order], owner[order]
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-        if not len(starts):
-            return keys, np.zeros(0, bool)
-        return keys[starts], np.minimum.reduceat(owner, starts) != np.maximum.reduceat(owner, starts)
-
-    def runs(self, known: np.ndarray, state: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """``(document, first window, windows, key)`` of each run of windows whose key is shared (state 1) or common (2).
-
-        A run has one key. Windows of a common key go alone, under a hash of the window.
+        if not len(self.known):
+            return self.known, np.zeros(0, bool)
+        owner = self.ids[self.doc[self.order]]
+        return self.known, np.minimum.reduceat(owner, self.firsts) != np.maximum.reduceat(owner, self.firsts)
+
+    def strings(self, state: np.ndarray, parts: int, subs: int) -> tuple[dict, dict]:
+        """Runs of windows whose key is shared (state 1) or common (2), and their distinct strings, in the order of parts.
+
+        Runs: the documents ``doc``, the first windows ``at``, how many ``n``, their strings ``kind``. Strings: ``text``, the
+        least id ``least`` and ``sub``, the number among the sub-parts of all parts. Windows of a common key go alone,
+        under a hash of the window. Equal strings have equal keys, so they are in one sub-part.
         """
-        for d, keys in enumerate(self.keys):
-            if not len(keys):
-                continue
-            starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1])]))
-            sizes = np.diff(np.concatenate([starts, [len(keys)]]))
-            now = state[np.searchsorted(known, keys[starts])]
-            some = np.flatnonzero(now)
-            own = window_hashes(self.texts[d], self.length).tolist() if (now == 2).any() else []
-            for a, n, kind, key in zip(starts[some].tolist(), sizes[some].tolist(), now[some].tolist(), keys[starts[some]].tolist(), strict=True):
-                if kind == 1:
-                    for lo in range(a, a + n, RUN):
-                        yield d, lo, min(RUN, a + n - lo), key
-                else:
-                    for i in range(a, a + n):
-                        yield d, i, 1, own[i]
-
-    def strings(self, known: np.ndarray, state: np.ndarray, parts: int) -> tuple[dict, list]:
-        """Distinct strings of the runs as ``{(sub-part, bytes): [place in its part, least id]}``, and the runs with their string."""
-        found, filled, runs = {}, {}, []
-        whole = [t.tobytes() for t in self.texts]
-        for d, i, n, key in self.runs(known, state):
-            name = ((key >> 32) * (parts * SUBS) >> 32, whole[d][i : i + n + self.length - 1])
-            held = found.get(name)
-            if held is None:
-                place = filled.get(name[0] // SUBS, 0)
-                filled[name[0] // SUBS] = place + 1
-                found[name] = held = [place, int(self.ids[d])]
-            elif self.ids[d] < held[1]:
-                held[1] = int(self.ids[d])
-            runs.append((d, i, n, name))
-        return found, runs
-
-
-def states(block: Block, replies: list[dict], parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The block's distinct keys and the state of each, from the replies of the parts."""
-    known, _ = block.distinct()
-    state, part = np.zeros(len(known), np.uint8), part_of(known, parts)
+        now = state[self.key]
+        some = np.flatnonzero(now)
+        each = np.where(now[some] == 1, RUN, 1)
+        cuts = -(-self.sizes[some] // each)
+        run, step = np.repeat(some, cuts), np.repeat(each, cuts)
+        nth = np.arange(len(run)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        at = self.starts[run] + nth * step
+        n = np.minimum(self.sizes[run] - nth * step, step)
+        keys = self.known[self.key[run]]
+        alone = np.flatnonzero(now[run] == 2)
+        for lo in range(0, len(alone), CHUNK // 4):
+            part = alone[lo : lo + CHUNK // 4]
+            keys[part] = window_hashes(self.whole[at[part][:, None] + np.arange(self.length)].ravel(), self.length)[:: self.length]
+        raw, kinds = self.raw, {}
+        kind = np.array([kinds.setdefault(raw[a:b], len(kinds)) for a, b in zip(at.tolist(), (at + n + self.length - 1).tolist(), strict=True)], np.int64)
+        sub, least = np.empty(len(kinds), np.int64), np.full(len(kinds), NO_ID)
+        sub[kind] = part_of(keys, parts * subs)
+        np.minimum.at(least, kind, self.ids[self.doc[run]])
+        order = np.argsort(sub, kind="stable")
+        place, text = np.empty(len(kinds), np.int64), list(kinds)
+        place[order] = np.arange(len(order))
+        return {"doc": self.doc[run], "at": at, "n": n, "kind": place[kind]}, {"text": [text[i] for i in order.tolist()], "least": least[order], "sub": sub[order]}
+
+
+def states(block: Block, replies: list[dict], parts: int) -> np.ndarray:
+    """The state of each of the block's distinct keys, from the replies of the parts."""
+    state, part = np.zeros(len(block.known), np.uint8), part_of(block.known, parts)
     for x in replies:
         a, b = np.searchsorted(part, [x["part"], x["part"] + 1])
         state[a:b] = np.frombuffer(x["reply"], np.uint8)
-    return known, state
-
-
-def repeated_spans(docs: DataFrame, length: int = 50, q: int = 20, block_bytes: int = 4 << 20, part_bytes: int = 6 << 20, common_blocks: int = 1024) -> DataFrame:
+    return state
+
+
+def covered(block: Block, runs: dict, marks: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The bytes of the block that go; ``marks``: the bits of each string's windows that smaller documents of any block have."""
+    # a string that a smaller document of the block has is gone as a whole
+    every = (np.int64(1) << runs["n"]) - 1
+    mask = np.where(block.ids[runs["doc"]] > least[runs["kind"]], every, marks[runs["kind"]].astype(np.int64))
+    change, full = np.zeros(len(block.whole) + 1, np.int32), mask == every
+    np.add.at(change, runs["at"][full], 1)
+    np.add.at(change, (runs["at"] + runs["n"] + block.length - 1)[full], -1)
+    some = np.flatnonzero(~full & (mask > 0))
+    for w in range(RUN):
+        at = runs["at"][some[mask[some] >> w & 1 > 0]] + w
+        np.add.at(change, at, 1)
+        np.add.at(change, at + block.length, -1)
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
+
+
+def repeated_spans(docs: DataFrame, length: int = 50, q: int = 20, block_bytes: int = 4 << 20, part_bytes: int = 6 << 20, common_blocks: int = 1024, many_parts: int = 512) -> DataFrame:
     """``doc_id n_bytes spans kept`` for every row of ``docs``: what a smaller document holds too, and the bytes that stay.
 
     Texts are UTF-8 bytes (null: empty). A byte goes if a string of ``length`` bytes that covers it also starts in a
@@ -253,7 +291,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, q: int = 20, block_bytes:
     of one key go as strings, once a block with the block's least id, to the key's part, where :func:`suffix_order` sorts
     their suffixes and each window gets the least id that has it; the answer is a bit a window. (3) Blocks mark their
     documents. Keys that more than ``common_blocks`` blocks have are split: their windows go to parts of their own hash.
-    What a block sends or gets is bounded by its own size, and a part gets a key's string once a block at most.
+    What a block sends or gets is bounded by its own size, and a part gets a key's string once a block at most. A block
+    sends a row a part; so parts grow, up to four times ``part_bytes``, before there are more than ``many_parts``.
     Texts are kept compressed in a written table and move twice, joined with the answers.
     """
     if not q <= length < 65_000:
@@ -280,7 +319,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, q: int = 20, block_bytes:
     rows = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     blocks = written(rows.mapInArrow(cut, "block long, doc_ids array<long>, lengths array<int>, texts binary"), "suffix-blocks")
     total = blocks.select(F.explode("lengths").alias("n")).agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
-    parts = max(1, -(-total // part_bytes))
+    parts, subs = parts_of(total, part_bytes, many_parts)
     spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts // 4)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,25 +356,27 @@ def repeated_spans(docs: DataFrame, length: int = 50, q: int = 20, block_bytes:
             for n in range(batch.num_rows):
                 row = batch.slice(n, 1).to_pylist()[0]
                 block = Block(row, length, q)
-                found, _ = block.strings(*states(block, row["keys"], parts), parts)
-                by_part: dict = {}
-                for (sub, text), (_, least) in found.items():
-                    by_part.setdefault(sub // SUBS, []).append((text, least, sub % SUBS))
-                rows = [{"part": p, "block": row["block"], "subs": bytes(s for _, _, s in x), "sizes": np.array([len(t) for t, _, _ in x], "<u2").tobytes(), "least": np.array([i for _, i, _ in x], "<i8").tobytes(), "strings": press.compress(b"".join(t for t, _, _ in x))} for p, x in by_part.items()]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int64()), ("block", pa.int64()), ("subs", pa.binary()), ("sizes", pa.binary()), ("least", pa.binary()), ("strings", pa.binary())]))
+                _, found = block.strings(states(block, row["keys"], parts), parts, subs)
+                if not found["text"]:
+                    continue
+                part, sub = found["sub"] // subs, (found["sub"] % subs).astype(np.uint8)
+                sizes = np.array([len(t) for t in found["text"]], "<u2")
+                at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                cuts = list(zip(at.tolist(), [*at[1:].tolist(), len(part)], strict=True))
+                lists = [[x[a:b].tobytes() for a, b in cuts] for x in (sub, sizes, found["least"])]
+                lists.append([press.compress(b"".join(found["text"][a:b])) for a, b in cuts])
+                yield pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array(np.full(len(at), row["block"])), *[pa.array(x, pa.binary()) for x in lists]], ["part", "block", "subs", "sizes", "least", "strings"])
 
     def answer_strings(table: pa.Table) -> pa.Table:
         sizes = [np.frombuffer(x, "<u2").astype(np.int64) for x in table.column("sizes").to_pylist()]
-        subs = np.frombuffer(b"".join(table.column("subs").to_pylist()), np.uint8)
+        which = np.frombuffer(b"".join(table.column("subs").to_pylist()), np.uint8)
         least = np.frombuffer(b"".join(table.column("least").to_pylist()), "<i8")
         whole = b"".join(zstandard.ZstdDecompressor().decompress(x) for x in table.column("strings").to_pylist())
         ends = np.cumsum(np.concatenate(sizes))
-        masks = np.zeros(len(subs), np.uint32)
-        for sub in range(SUBS):
-            at = np.flatnonzero(subs == sub)
-            if len(at):
-                masks[at] = marks_of([whole[a:b] for a, b in zip((ends[at] - np.concatenate(sizes)[at]).tolist(), ends[at].tolist(), strict=True)], least[at], length)
+        starts, masks = ends - np.concatenate(sizes), np.zeros(len(which), np.uint32)
+        order = np.argsort(which, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(which[order])) + 1):
+            masks[at] = marks_of([whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], least[at], length)
         cuts = np.cumsum([len(x) for x in sizes])[:-1]
         return pa.table({"block": table.column("block"), "part": table.column("part"), "marks": pa.array([x.tobytes() for x in np.split(masks, cuts)], pa.binary())})
 
@@ -348,37 +389,24 @@ def repeated_spans(docs: DataFrame, length: int = 50, q: int = 20, block_bytes:
             for n in range(batch.num_rows):
                 row = batch.slice(n, 1).to_pylist()[0]
                 block = Block(row, length, q)
-                gone = [None] * len(block.texts)
+                gone = np.zeros(len(block.whole), bool)
                 if row["marks"]:
-                    found, runs = block.strings(*states(block, row["keys"], parts), parts)
-                    masks = {x["part"]: np.frombuffer(x["marks"], "<u4") for x in row["marks"]}
-                    for d, i, size, name in runs:
-                        place, least = found[name]
-                        mask = (1 << size) - 1 if block.ids[d] > least else int(masks[name[0] // SUBS][place])
-                        if mask:
-                            if gone[d] is None:
-                                gone[d] = np.zeros(len(block.texts[d]) + 1, np.int32)
-                            marks = gone[d]
-                            if mask == (1 << size) - 1:
-                                marks[i] += 1
-                                marks[i + size + length - 1] -= 1
-                            else:
-                                for w in range(size):
-                                    if mask >> w & 1:
-                                        marks[i + w] += 1
-                                        marks[i + w + length] -= 1
-                ids, sizes, spans, kept = [], [], [], []
-                for d, text in enumerate(block.texts):
-                    ids.append(row["doc_ids"][d])
-                    sizes.append(len(text))
-                    if gone[d] is None:
-                        spans.append([])
-                        kept.append(text.tobytes())
-                    else:
-                        covered = np.cumsum(gone[d])[:-1] > 0
-                        edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]])))
-                        spans.append([{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()])
-                        kept.append(text[~covered].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+                    runs, found = block.strings(states(block, row["keys"], parts), parts, subs)
+                    marks, part = np.zeros(len(found["sub"]), np.uint32), found["sub"] // subs
+                    for x in row["marks"]:
+                        a, b = np.searchsorted(part, [x["part"], x["part"] + 1])
+                        marks[a:b] = np.frombuffer(x["marks"], "<u4")
+                    gone = covered(block, runs, marks, found["least"])
+                # a run of removed bytes ends with its document
+                edge, head = np.zeros(len(gone) + 1, bool), np.zeros(len(gone) + 1, bool)
+                edge[:-1], head[block.ends] = gone, True
+                first = np.flatnonzero(edge[:-1] & (head[:-1] | ~np.concatenate([[False], edge[:-1]])[:-1]))
+                last = np.flatnonzero(edge[:-1] & (head[1:] | ~edge[1:])) + 1
+                doc = np.searchsorted(block.ends, first, side="right") - 1
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(block.ids)))])
+                places = pa.StructArray.from_arrays([pa.array(first - block.ends[doc], pa.int64()), pa.array(last - block.ends[doc], pa.int64())], ["start", "end"])
+                left = np.concatenate([[0], np.cumsum(~gone)])[block.ends]
+                kept = pa.BinaryArray.from_buffers(pa.binary(), len(block.ids), [None, pa.py_buffer(left.astype(np.int32)), pa.py_buffer(block.whole[~gone])])
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["lengths"], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), places), kept], ["doc_id", "n_bytes", "spans", "kept"])
 
     return blocks.join(replies, "block", "left").join(marks, "block", "left").mapInArrow(finish, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")

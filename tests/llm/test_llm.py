@@ -250,6 +250,19 @@ def test_suffix(spark, rows, options):
     assert collections.Counter((r["doc_id"], r["n_bytes"], tuple(map(tuple, r["spans"])), bytes(r["kept"])) for r in got) == brute_spans(some)
 
 
+def test_suffix_grown_parts(spark, rows):
+    some = [r for r in rows if len(r[1] or "") < 5000] + [(500, "ab" * 200, *[None] * 5), (501, "", *[None] * 5), (502, "ab" * 90 + "c", *[None] * 5)]
+    got = suffix.repeated_spans(spark.createDataFrame(some, SCHEMA).repartition(4), block_bytes=3000, part_bytes=700, many_parts=3).collect()
+    assert collections.Counter((r["doc_id"], r["n_bytes"], tuple(map(tuple, r["spans"])), bytes(r["kept"])) for r in got) == brute_spans(some)
+
+
+def test_suffix_rows_grow_slowly():
+    # a block sends a row a part
+    assert suffix.parts_of(900 << 20, 6 << 20, 512) == (150, 16) and suffix.parts_of(10 << 30, 6 << 20, 512)[0] == 512
+    parts, subs = suffix.parts_of(1 << 40, 6 << 20, 512)
+    assert parts * (24 << 20) >= 1 << 40 and subs <= 256
+
+
 def test_suffix_of_nothing(docs):
     assert suffix.repeated_spans(docs.limit(0)).count() == 0
 
