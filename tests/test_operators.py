@@ -243,3 +243,33 @@ def test_sizes_count_every_label(spark):
     n = np.bincount([0, 0, 0, 1, 5, 5], minlength=3)
     assert (got["smallest"], got["largest"], got["small_clusters"], got["small_fraction"]) == (0, 3, 4, pytest.approx(4 / 6))
     assert got["imbalance_std"] == pytest.approx(n.std() / n.mean())
+
+
+def all_pairs_silhouette(x, labels):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    names, n = np.unique(labels, return_counts=True)
+    sums = np.stack([d[:, labels == c].sum(1) for c in names], 1)
+    own = labels[:, None] == names
+    a, b = (sums * own).sum(1) / np.maximum((n * own).sum(1) - 1, 1), np.where(own, np.inf, sums / n).min(1)
+    return np.where((n * own).sum(1) == 1, 0.0, (b - a) / np.maximum(a, b)).mean()
+
+
+def test_silhouette_meets_near_clusters_only_and_stays_exact():
+    rnd = np.random.default_rng(8)
+    x = rnd.normal(size=(900, 4)) + 1e3
+    for labels in (x[:, 0].argsort().argsort() // 150, rnd.integers(0, 6, 900), np.minimum(np.arange(900), 3)):
+        assert search.silhouette(x, labels, tile_rows=64) == pytest.approx(all_pairs_silhouette(x, labels), abs=1e-8)
+    copies = np.repeat(x[:30], 20, 0)
+    assert search.silhouette(copies, np.repeat(np.arange(30) % 4, 20)) == pytest.approx(all_pairs_silhouette(copies, np.repeat(np.arange(30) % 4, 20)), abs=1e-6)
+    x = rnd.normal(size=(4000, 2))
+    labels = ((x[:, 0] > 0) + 2 * (x[:, 1] > 0)).astype(int)
+    some = search.may_be_nearest(x, labels, [x[labels == c] for c in range(4)])
+    mean = np.stack([np.sqrt(((x[:, None] - x[labels == c][None]) ** 2).sum(2)).mean(1) for c in range(4)], 1)
+    mean[np.arange(4000), labels] = np.inf
+    assert some[np.arange(4000), mean.argmin(1)].all() and some.sum() < 1.5 * 4000
+
+
+def test_starts_spread_over_the_cluster_give_the_same_centres(spark, monkeypatch):
+    x = np.random.default_rng(9).normal(size=(500, 3))
+    monkeypatch.setattr(search, "BATCH", 4000)  # two starts a task
+    assert np.allclose(search.spread_kmeans(spark, x, 4, 7, np.random.default_rng(1)), search.kmeans(x, 4, 7, np.random.default_rng(1)))
