@@ -40,8 +40,8 @@ def tokenized_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, block_to
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("block", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sources", pa.list_(pa.string())), ("lengths", pa.list_(pa.int32())), ("per_source", pa.list_(pa.struct([("source", pa.string()), ("tokens", pa.int64())]))), ("ids", pa.binary())]))
 
         for batch in batches:
-            for doc_id, source, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                held.append((doc_id, source, known.of(text or "") + end))
+            for doc_id, source, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), known.of(batch.column(2)), strict=True):
+                held.append((doc_id, source, ids + end))
                 size += len(held[-1][2]) // 4
                 if size >= block_tokens:
                     yield block()

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,16 +20,13 @@ from .common import once, picked
 
 #: Fixed value: how the lower-casing tokenizer cuts a text into pre-tokens.
 WORD_PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Characters of which all Unicode versions say the same: letters, digits, white space or neither, and their own NFC.
-LETTERS, OTHERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ", "!-/:-@[-`{-~¡-©«¬®-±´¶-¸»¿×÷‐-‧€"
-UNUSUAL = re.compile(rf"[^\t-\r 0-9{LETTERS}{OTHERS}]")
+#: Characters of which all Unicode versions say the same: letters (with their lower case), digits, white space or neither, and their own NFC.
+LETTERS, OTHERS = "A-Za-zÀ-ÖØ-öø-įı-ȹȻ-Ƚȿ-ʯ", "!-/:-@[-`{-~¡-©«¬®-±´¶-¸»¿×÷‐-‧€"
+UNUSUAL = rf"[^\t-\r 0-9{LETTERS}{OTHERS}]"
 
 
-def usual(pattern: str) -> re.Pattern:
-    """``pattern`` over usual characters, where ranges say the same as Unicode classes and run faster."""
-    for class_, same in ((r"[\p{L}]", f"[{LETTERS}]"), (r"[^\s\p{L}\p{N}]", rf"[^\s{LETTERS}0-9]"), (r"[\p{N}]", "[0-9]")):
-        pattern = pattern.replace(class_, same)
-    return re.compile(pattern)
+#: The pre-tokens of usual characters that are no runs of letters, in the order of ``WORD_PRE_TOKENS``.
+MARKS = rf"'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\t-\r 0-9{LETTERS}]+"
 
 
 def byte_letters() -> dict[int, str]:
@@ -38,11 +39,11 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b if b in own else 256 + rest.index(b)) for b in range(256)}
 
 
-BYTE_LETTERS = byte_letters()
+BYTE_LETTERS = "".join(letter for _, letter in sorted(byte_letters().items()))
 
 
 def spelled(pre_token: str) -> str:
-    return pre_token.encode().decode("latin-1").translate(BYTE_LETTERS)
+    return codecs.charmap_decode(pre_token.encode(), "strict", BYTE_LETTERS)[0]
 
 
 def whole_tokens(file: str) -> dict[str, str]:
@@ -105,21 +106,43 @@ class Counts:
 class Ids:
     """Ids (little-endian, unsigned 32 bits) of texts under a lower-casing BPE tokenizer that drops white space.
 
-    Texts of characters that the ranges above cover are cut here, others by the library; both give the library's ids.
+    Texts of characters that the ranges above cover are cut here, a run of them at once, and each distinct pre-token of
+    a run is looked up once; other texts are the library's. Both give the library's ids.
     """
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, run_bytes: int = 1 << 20):
         from tokenizers import Tokenizer
 
-        self.tokenizer, cut = Tokenizer.from_str(file), usual(WORD_PRE_TOKENS)
+        self.tokenizer, self.run_bytes = Tokenizer.from_str(file), run_bytes
         merge, self.special = self.tokenizer.model.tokenize, [t["content"] for t in json.loads(file)["added_tokens"]]
-        known = Remembered({}, lambda pre_token: np.array([t.id for t in merge(spelled(pre_token))], "<u4").tobytes())
-        self.pieces = Remembered({}, lambda piece: b"".join(map(known.__getitem__, cut.findall(piece))))
-
-    def of(self, text: str) -> bytes:
-        if UNUSUAL.search(text) or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.pieces.__getitem__, text.lower().split()))
+        self.known = Remembered({}, lambda pre_token: array("I", [t.id for t in merge(spelled(pre_token))]).tobytes())
+
+    def of(self, texts: pa.StringArray) -> Iterator[bytes]:
+        """The ids of each text, in order; null is empty. Runs have about ``run_bytes`` of text (a longer text more)."""
+        texts = texts.fill_null("")
+        runs = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // self.run_bytes
+        for first, end in pairwise([0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), len(texts)]):
+            yield from self.of_run(texts.slice(first, end - first).cast(pa.large_string()))
+
+    def of_run(self, texts: pa.LargeStringArray) -> Iterator[bytes]:
+        whole = pc.match_substring_regex(texts, UNUSUAL)
+        for special in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, special))
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts.filter(pc.invert(whole))), MARKS, r" \0 "))
+        places = cut.flatten().dictionary_encode()
+        distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(places.dictionary)], places.dictionary), pa.scalar(" ", pa.large_string()))
+        ids = [self.known[p] for p in distinct[0].as_py().split(" ")]  # to_pylist takes seven times as long
+        sizes, indices = np.fromiter(map(len, ids), np.int64, len(ids)) // 4, places.indices.to_numpy()
+        each, firsts = sizes[indices], np.cumsum(sizes) - sizes
+        ends = np.concatenate([[0], np.cumsum(each)])
+        out = np.frombuffer(b"".join(ids), "<u4")[np.repeat(firsts[indices] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
+        own = pairwise((4 * ends[cut.offsets.to_numpy()]).tolist())
+        for i, library in enumerate(whole.to_pylist()):
+            if library:
+                yield np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                first, end = next(own)
+                yield out[first:end]
 
 
 def tokenizer_file(path: str, normalizer, pre_tokenizer) -> str:

@@ -405,6 +405,30 @@ def test_packing(docs, rows, options):
     assert packing.pack(docs.limit(0), WORDS).count() == 0
 
 
+def test_packing_takes_the_ids_of_all_letters(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    letters = [c for c in map(chr, range(0x80, 0x2E80)) if c.isalpha()]
+    texts = [f"ab{c}cd {''.join(letters[i : i + 3])}'s" for i, c in enumerate(letters)]
+    got = packing.pack(spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, source string"), WORDS, window=1 << 20)
+    crc = lambda text: zlib.crc32(np.array([*library.encode(text, add_special_tokens=False).ids, 1], "<u4").tobytes())
+    assert {r["doc_id"]: r["ids_crc32"] for r in got.collect()} == {i: crc(t) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("run_bytes", [1, 300, 1 << 20])
+def test_ids_of_runs(rows, run_bytes):
+    import pyarrow as pa
+
+    rnd = random.Random(9)
+    odd = ["".join(rnd.choices(" \n\t''''sstremlvd0₂²ÀÉéßƐɛȺİſ!?-€<|", k=rnd.randint(0, 40))) for _ in range(2000)]
+    texts = [r[1] for r in rows] + odd + ["!'s 're'll 'S don'T", "hi <|endoftext|>", None]
+    known = tokens.Ids(tokens.word_bpe_file(WORDS), run_bytes)
+    want = [np.array(known.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(known.of(pa.array(texts))) == want
+    assert list(known.of(pa.array([], pa.string()))) == []
+
+
 def test_round_robin_mixes(spark):
     rnd = random.Random(4)
     df = spark.createDataFrame([(i, sentences(rnd, 60), None, "a" if i % 4 else "b", 0, 0, "") for i in range(400)], SCHEMA)
