@@ -85,6 +85,16 @@ def test_twins_by_miles_as_by_edges(spark, places):
         assert rounded(f(0.8)) == rounded(f(edges)) != []
 
 
+def test_thresholds_take_the_whole_borough(spark):
+    z = np.random.default_rng(7).normal(size=(2400, 2))
+    points = spark.createDataFrame([(f"{i:04d}", "x" if i < 2000 else "y", 40.0 + i, -74.0, [float(v) for v in z[i]]) for i in range(2400)], "area_id string, borough string, lat double, lon double, z array<double>")
+    anchored = twins.anchor_rows(spark.createDataFrame([("0000",), ("2000",)], "area_id string"), points, spark.createDataFrame([(None, [1.0, 2.0])], "borough string, variances array<double>"))
+    near = spark.createDataFrame([("0000", "0001", 50.0)] + [("2000", f"{i:04d}", float(i)) for i in range(2001, 2009)], "anchor string, area_id string, d2 double")
+    got = {r["anchor"]: (r["threshold"], r["n_values"]) for r in twins.thresholds(anchored, near, points).collect()}
+    d2 = ((z[1:2000] - z[0]) ** 2 / [1.0, 2.0]).sum(1)
+    assert got == {"0000": (pytest.approx(np.quantile([*d2, 50.0], 0.95)), 2000), "2000": (pytest.approx(np.quantile(range(2001, 2009), 0.95)), 8)}
+
+
 def test_twins_first_come_first_served(spark, places):
     rnd = np.random.default_rng(1)
     z = {p[0]: rnd.normal(size=2) for p in places}
