@@ -178,6 +178,29 @@ def test_kmeans_agrees_with_full_passes_in_far_less_time(monkeypatch):
         assert search.kmeans(points, k, 3, np.random.default_rng(0)).shape == (k, points.shape[1])
 
 
+def test_kmeans_decides_near_ties_exactly():
+    rnd = np.random.default_rng(10)
+    grid = rnd.integers(0, 4, (3000, 3)) + 1e-7 * rnd.normal(size=(3000, 3))  # midway between centres but for 1e-7
+    far = np.vstack([rnd.normal(size=(2000, 3)), [[1e4, 0.0, 0.0]]])
+    for x in (grid, far):
+        starts = x[rnd.integers(0, len(x), (6, 5))]
+        for steps in (1, 2, 7):
+            want = [plain_lloyd(x - x.mean(0), c - x.mean(0), steps) for c in starts]
+            centres, costs = search.lloyd(x, starts, steps)
+            assert np.allclose(centres, [c + x.mean(0) for c, _ in want], rtol=0, atol=1e-9 * np.abs(x).max())
+            assert np.allclose(costs, [c for _, c in want], rtol=1e-7, atol=1e-9)
+
+
+def test_few_points_meet_without_bounds(monkeypatch):
+    rnd = np.random.default_rng(11)
+    x, labels = rnd.normal(size=(700, 3)), rnd.integers(0, 5, 700)
+    bounded, asked = search.may_be_nearest, []
+    monkeypatch.setattr(search, "may_be_nearest", lambda *a: asked.append(1) or bounded(*a))
+    assert search.silhouette(x, labels) == pytest.approx(all_pairs_silhouette(x, labels), abs=1e-8) and not asked
+    monkeypatch.setattr(search, "FEW", 600)
+    assert search.silhouette(x, labels) == pytest.approx(all_pairs_silhouette(x, labels), abs=1e-8) and asked
+
+
 def test_robust_scale_of_flat_and_empty_columns(spark):
     df = spark.createDataFrame([(1.0, None), (1.0, None), (float("nan"), None)], "a double, b double")
     assert [tuple(r)[2:] for r in features.robust_scale(df, ["a", "b"]).collect()] == [(0.0, 0.0)] * 3
